@@ -95,11 +95,11 @@ def merge(catalog: DataFrame, changes: DataFrame) -> DataFrame:
         "tags": _clean_tags(keep_null=True),
         "fields": F.col("fields"),
     }
-    last = changes.select("name", "changed_at", *[v.alias(c) for c, v in values.items()])
-    folded = last.groupBy("name").agg(
+    cleaned = changes.select("name", "changed_at", *[v.alias(c) for c, v in values.items()])
+    folded = cleaned.groupBy("name").agg(
         F.max("changed_at").alias("changed_at"),
         *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("changed_at"))).alias(f"new_{c}")
+            F.max(F.when(F.col(c).isNotNull(), F.struct("changed_at", c)))[c].alias(f"new_{c}")
             for c in values
         ],
     )

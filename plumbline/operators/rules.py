@@ -76,7 +76,7 @@ def parse_param(key: str, value: object) -> object:
             return float(value)
         except (ValueError, TypeError):
             return value
-    if key == "value_set" and not isinstance(value, list):
+    if key == "value_set" and value is not None and not isinstance(value, list):
         return [part.strip() for part in str(value).split(",")]
     return value
 
