@@ -22,6 +22,14 @@ NUMBER_PATTERN = (
 SPECIAL_NUMBER_PATTERN = r"(?i)^[+-]?(inf|infinity|nan)$"
 
 
+def text_literal(value: str | None) -> str:
+    """SQL text of a string constant. Spelled in hexadecimal, so that no quoting
+    or escaping rule applies to what is in it."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return f"CAST(X'{value.encode().hex()}' AS STRING)"
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends."""
     return F.btrim(text, F.lit(WHITE_SPACE))

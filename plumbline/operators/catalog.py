@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import contains_ignore_case, strip
+from plumbline.functions.text import contains_ignore_case, strip, text_literal
+from plumbline.plans.fused import struct_sql
 
 FIELDS = "array<struct<name:string,type:string,description:string,nullable:boolean>>"
 _ENTRY_JSON = (
@@ -73,8 +74,7 @@ def create(catalog: DataFrame, entries: DataFrame) -> DataFrame:
     clean = normalize(entries)
     payload = [c for c in COLUMNS if c not in ("name", "created_at", "updated_at")]
     # The entry's own content breaks ties, so that a re-run picks the same one.
-    order = F.struct(F.col("created_at"), F.to_json(F.struct(*payload)))
-    chosen = clean.groupBy("name").agg(F.min_by(F.struct(*payload, "created_at"), order).alias("entry"))
+    chosen = clean.groupBy("name").agg(F.min(F.struct("created_at", *payload)).alias("entry"))
     fresh = chosen.join(catalog.select("name"), "name", "left_anti").select(
         "name", "entry.*", F.col("entry.created_at").alias("updated_at")
     )
@@ -147,15 +147,12 @@ def autofill(catalog: DataFrame, dataset: DataFrame, source_ref: str) -> DataFra
 def schema_fields(dataset: DataFrame) -> Column:
     """A dataset's columns as catalog fields with blank descriptions."""
     described = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.lit(dtype).alias("type"),
-            F.lit("").alias("description"),
-            F.lit(True).alias("nullable"),
+        struct_sql(
+            {"name": text_literal(name), "type": text_literal(dtype), "description": "''", "nullable": "TRUE"}
         )
         for name, dtype in dataset.dtypes
     ]
-    return F.array(*described).cast(FIELDS)
+    return F.expr(f"CAST(array({', '.join(described)}) AS {FIELDS})")
 
 
 def _clean(name: str) -> Column:

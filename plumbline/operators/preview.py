@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.fused import literal_rows
+from plumbline.functions.text import text_literal
+from plumbline.plans.fused import literal_rows, struct_sql
 
 
 def columns(df: DataFrame) -> DataFrame:
     """Name and type of every column, in order. Looks at the schema only."""
     rows = [
-        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("name"), F.lit(dtype).alias("type"))
+        struct_sql({"pos": str(i), "name": text_literal(name), "type": text_literal(dtype)})
         for i, (name, dtype) in enumerate(df.dtypes)
     ]
     return literal_rows(df.sparkSession, rows)

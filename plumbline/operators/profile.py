@@ -2,44 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import column_position, groupable, positional
 from plumbline.functions.numbers import percent_half_up
-from plumbline.plans.fused import Measures, literal_rows
-from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, value_counts
+from plumbline.functions.text import text_literal
+from plumbline.plans.fused import Measures, literal_rows, struct_sql, unpack
+from plumbline.plans.grouped import (
+    DEFAULT_COLUMNS_PER_SCAN,
+    WHOLE_ROW_COLUMNS_PER_SCAN,
+    value_counts,
+)
+from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve
 
 # A column with a larger share of NULLs (in percent) is flagged.
 NULL_ALERT_ABOVE = 20
 
-# Columns that share one aggregate row where no distinct counts are needed: five
+# Columns that share one aggregate row where no grouping is needed: up to six
 # aggregates each, and at most 100 aggregate columns keep code generation.
 _COLUMNS_PER_AGGREGATE = 16
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULLs per column: one scan, no shuffle but of one row per task."""
-    return _long(df, columns, lambda c, _: {"nulls": F.count_if(c.isNull())})
+    return _named(df, _side_by_side(df, _positions(df, columns), lambda c, _: {"nulls": _nulls(c)}), "nulls")
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Minimum, maximum and mean of the numeric columns; NULL when there is no value."""
-    chosen = [p for p in _positions(df, columns) if _numeric(df.schema.fields[p].dataType)]
+    fields = df.schema.fields
+    chosen = [p for p in _positions(df, columns) if isinstance(fields[p].dataType, T.NumericType)]
     if not chosen:
         raise ValueError("no numeric columns")
-    return _long(
-        df,
-        [df.columns[p] for p in chosen],
-        lambda c, _: {
-            "min": F.min(c).cast("double"),
-            "max": F.max(c).cast("double"),
-            "mean": F.avg(c.cast("double")),
-        },
-    )
+    return _named(df, _side_by_side(df, chosen, _range), "min", "max", "mean")
 
 
 def distinct_counts(
@@ -66,36 +66,26 @@ def profile(
     one scan when reading is expensive whatever is selected (CSV, JSON, a query).
 
     ``exact=False`` estimates the distinct counts (to a few percent) and shuffles
-    one small row per column and task instead of the distinct values.
+    one small row per task instead of the distinct values.
     """
     positions = _positions(df, columns)
     fields = df.schema.fields
-    countable = [p for p in positions if groupable(fields[p].dataType)]
-    others = [p for p in positions if p not in countable]
-    if not exact:
-        stats = _estimates(df, positions)
-    elif not others:
-        stats = _from_counts(df, countable, columns_per_scan)
-    else:
-        stats = _ungroupable(df, others)
-        if countable:
-            stats = _from_counts(df, countable, columns_per_scan).unionByName(stats)
-    types = dict(enumerate(t for _, t in df.dtypes))
-    return (
-        stats.select(
-            "pos",
-            _by_position({p: fields[p].name for p in positions}).alias("column"),
-            _by_position({p: types[p] for p in positions}).alias("type"),
-            "nulls",
-            "unique",
-            "total",
-            "min",
-            "max",
-            "mean",
-        )
-        .coalesce(1)
-        .sortWithinPartitions("pos")
-    )
+    countable = [p for p in positions if exact and groupable(fields[p].dataType)]
+    rest = [p for p in positions if p not in countable]
+    parts = []
+    if countable:
+        parts.append(_from_counts(df, countable, columns_per_scan))
+    if rest:
+        parts.append(_side_by_side(df, rest, _estimate))
+    stats = reduce(DataFrame.unionByName, parts)
+    named = _named(df, stats, "nulls", "unique", "total", "min", "max", "mean", types=True)
+    return named.coalesce(1).sortWithinPartitions("pos")
+
+
+def profile_source(spark: SparkSession, source: SourceSpec, exact: bool = True) -> DataFrame:
+    """Profile a source, with as many columns per scan as suits how it is read."""
+    width = WHOLE_ROW_COLUMNS_PER_SCAN if reads_whole_rows(source) else DEFAULT_COLUMNS_PER_SCAN
+    return profile(resolve(spark, source), columns_per_scan=width, exact=exact)
 
 
 def with_percentages(profiled: DataFrame) -> DataFrame:
@@ -112,14 +102,13 @@ def dataset_summary(df: DataFrame, label: str) -> DataFrame:
     """Rows, columns, NULLs over all columns, and the format as the label shows
     it (what follows the last dot, in capitals)."""
     flat = positional(df)
-    nulls = F.lit(0).cast("bigint")
-    for c in flat.columns:
-        nulls = nulls + F.col(c).isNull().cast("bigint")
-    return flat.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.lit(len(df.columns)).alias("columns"),
-        F.coalesce(F.sum(nulls), F.lit(0)).alias("total_nulls"),
-        F.lit((label or "csv").split(".")[-1].upper()).alias("format"),
+    nulls = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in flat.columns)
+    shown = text_literal((label or "csv").split(".")[-1].upper())
+    return flat.selectExpr(
+        "count(1) AS rows",
+        f"{len(df.columns)} AS columns",
+        f"coalesce(sum({nulls}), 0) AS total_nulls",
+        f"first({shown}) AS format",
     )
 
 
@@ -132,105 +121,90 @@ def _positions(df: DataFrame, columns: Sequence[str] | None) -> list[int]:
     return sorted(set(found))
 
 
-def _numeric(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)
+def _named(df: DataFrame, stats: DataFrame, *values: str, types: bool = False) -> DataFrame:
+    """Replace positions by names (and types) of the columns."""
 
+    def lookup(texts: Sequence[str]) -> str:
+        return f"element_at(array({', '.join(text_literal(t) for t in texts)}), pos + 1)"
 
-def _by_position(texts: dict[int, str]) -> Column:
-    highest = max(texts)
-    return F.element_at(
-        F.array(*[F.lit(texts.get(p, "")) for p in range(highest + 1)]), F.col("pos") + 1
-    )
+    labels = [f"{lookup(df.columns)} AS column"]
+    if types:
+        labels.append(f"{lookup([t for _, t in df.dtypes])} AS type")
+    return stats.selectExpr("pos", *labels, *values)
 
 
 def _from_counts(df: DataFrame, positions: Sequence[int], columns_per_scan: int) -> DataFrame:
-    counts = value_counts(df, positions, columns_per_scan)
     # Columns of an empty table have no counted value; an n of 0 keeps them.
     nothing = [
-        F.struct(
-            F.lit(p).alias("pos"),
-            F.lit(None).cast("boolean").alias("is_null"),
-            F.lit(None).cast("double").alias("value"),
-            F.lit(0).cast("bigint").alias("n"),
+        struct_sql(
+            {
+                "pos": str(p),
+                "is_null": "CAST(NULL AS BOOLEAN)",
+                "value": "CAST(NULL AS DOUBLE)",
+                "n": "CAST(0 AS BIGINT)",
+            }
         )
         for p in positions
     ]
-    n, value = F.col("n"), F.col("value")
+    counts = value_counts(df, positions, columns_per_scan)
+    stats = {
+        "nulls": "sum(IF(is_null, n, 0))",
+        "unique": "count_if(n > 0)",
+        "total": "sum(n)",
+        "min": "min(value)",
+        "max": "max(value)",
+        "mean": "try_divide(sum(value * n), sum(IF(value IS NULL, 0, n)))",
+    }
     return (
         counts.unionByName(literal_rows(df.sparkSession, nothing))
         .groupBy("pos")
-        .agg(
-            F.sum(F.when(F.col("is_null"), n).otherwise(0)).alias("nulls"),
-            F.count_if(n > 0).alias("unique"),
-            F.sum(n).alias("total"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.try_divide(
-                F.sum(value * n), F.sum(F.when(value.isNotNull(), n)).cast("double")
-            ).alias("mean"),
-        )
+        .agg(*[F.expr(f"{sql} AS {name}") for name, sql in stats.items()])
     )
 
 
-def _ungroupable(df: DataFrame, positions: Sequence[int]) -> DataFrame:
-    return _long(
-        df,
-        [df.columns[p] for p in positions],
-        lambda c, _: {"nulls": F.count_if(c.isNull()), "total": F.count(F.lit(1))},
-    ).select(
-        "pos",
-        "nulls",
-        F.lit(None).cast("bigint").alias("unique"),
-        "total",
-        *[F.lit(None).cast("double").alias(k) for k in ("min", "max", "mean")],
-    )
+def _nulls(column: str) -> str:
+    return f"count_if({column} IS NULL)"
 
 
-def _estimates(df: DataFrame, positions: Sequence[int]) -> DataFrame:
-    flat = positional(df)
-    cells = []
-    for p in positions:
-        c, dtype = F.col(f"c{p}"), df.schema.fields[p].dataType
-        digest = F.when(c.isNotNull(), F.xxhash64(c)) if groupable(dtype) else F.lit(None)
-        cells += [
-            F.lit(p),
-            c.isNull(),
-            F.lit(groupable(dtype)),
-            digest.cast("bigint"),
-            (c if _numeric(dtype) else F.lit(None)).cast("double"),
-        ]
-    long = flat.select(F.stack(F.lit(len(positions)), *cells).alias("pos", "is_null", "known", "digest", "value"))
-    some_null = F.max(F.col("is_null").cast("bigint"))
-    estimate = F.approx_count_distinct("digest") + some_null
-    stats = long.groupBy("pos").agg(
-        F.count_if("is_null").alias("nulls"),
-        F.when(F.bool_and("known"), estimate).alias("unique"),
-        F.count(F.lit(1)).alias("total"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
+def _range(column: str, dtype: T.DataType) -> dict[str, str]:
+    if not isinstance(dtype, T.NumericType):
+        return {k: "CAST(NULL AS DOUBLE)" for k in ("min", "max", "mean")}
+    value = f"CAST({column} AS DOUBLE)"
+    return {"min": f"min({value})", "max": f"max({value})", "mean": f"avg({value})"}
+
+
+def _estimate(column: str, dtype: T.DataType) -> dict[str, str]:
+    # The estimate skips NULL, which counts as a value.
+    unique = (
+        f"approx_count_distinct({column}) + CAST(coalesce(bool_or({column} IS NULL), FALSE) AS BIGINT)"
+        if groupable(dtype)
+        else "CAST(NULL AS BIGINT)"
     )
-    return stats
+    return {"nulls": _nulls(column), "unique": unique, "total": "count(1)", **_range(column, dtype)}
 
 
-def _long(df: DataFrame, columns: Sequence[str] | None, aggregates) -> DataFrame:
-    """Aggregates per column, computed side by side and turned into one row per
-    column: ``(pos, column, ...)``."""
-    flat = positional(df)
-    positions = _positions(df, columns)
-    result = None
+def _side_by_side(
+    df: DataFrame,
+    positions: Sequence[int],
+    aggregates: Callable[[str, T.DataType], dict[str, str]],
+) -> DataFrame:
+    """Aggregates per column, computed side by side in one row and turned into
+    one row per column: ``(pos, ...)``."""
+    flat, fields = positional(df), df.schema.fields
+    parts = []
     for start in range(0, len(positions), _COLUMNS_PER_AGGREGATE):
         measures = Measures()
-        rows = []
-        for p in positions[start : start + _COLUMNS_PER_AGGREGATE]:
-            wanted = aggregates(F.col(f"c{p}"), df.schema.fields[p].dataType)
-            rows.append(
-                F.struct(
-                    F.lit(p).alias("pos"),
-                    F.lit(df.columns[p]).alias("column"),
-                    *[measures.need(f"{k}:{p}", agg).alias(k) for k, agg in wanted.items()],
-                )
+        structs = [
+            struct_sql(
+                {
+                    "pos": str(p),
+                    **{
+                        name: sql if sql.startswith("CAST(NULL") else measures.need(sql)
+                        for name, sql in aggregates(f"c{p}", fields[p].dataType).items()
+                    },
+                }
             )
-        part = measures.over(flat).select(F.inline(F.array(*rows)))
-        result = part if result is None else result.unionByName(part)
-    return result
+            for p in positions[start : start + _COLUMNS_PER_AGGREGATE]
+        ]
+        parts.append(unpack(measures.over(flat), structs))
+    return reduce(DataFrame.unionByName, parts)

@@ -1,8 +1,8 @@
 """The eight rule types.
 
 A rule becomes a :class:`Check`: either an error found by looking at the schema
-and the parameters alone, or aggregates to compute and the verdict as a column
-expression over them. Errors are settled before anything runs, because checks
+and the parameters alone, or aggregates to compute and the verdict as an expression
+over them. Errors are settled before anything runs, because checks
 share a job and one failing expression would take the others with it.
 
 Settled here, where the rule names leave room:
@@ -21,12 +21,12 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import column_position, groupable
-from plumbline.plans.fused import Measures
+from plumbline.functions.text import text_literal
+from plumbline.plans.fused import Measures, struct_sql
 
 # Rule types and their parameters.
 RULE_TYPES: dict[str, tuple[str, ...]] = {
@@ -100,12 +100,12 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Verdict:
-    """Outcome of a rule as expressions over computed aggregates."""
+    """Outcome of a rule, as SQL over computed aggregates."""
 
-    success: Column
-    observed: Column | None = None
-    elements: Column | None = None
-    unexpected: Column | None = None
+    success: str
+    observed: str | None = None
+    elements: str | None = None
+    unexpected: str | None = None
 
 
 @dataclass(frozen=True)
@@ -121,12 +121,28 @@ class Check:
     verdict: Callable[[Measures], Verdict] | None = None
     by_value: bool = False  # needs the counts per distinct value
 
-    def row(self, measures: Measures) -> Column:
-        """The result row, over the aggregates that ``measures`` collects."""
-        verdict = (
-            Verdict(F.lit(False)) if self.verdict is None else self.verdict(measures)
+    def row(self, measures: Measures) -> str:
+        """The result row as a struct over the aggregates that ``measures``
+        collects."""
+        verdict = Verdict("FALSE") if self.verdict is None else self.verdict(measures)
+        values = {
+            "pos": str(self.pos),
+            "expectation_type": text_literal(self.rule.expectation_type),
+            "column": text_literal(self.column),
+            "kwargs": text_literal(self.kwargs),
+            "success": f"coalesce({verdict.success}, FALSE)",
+            "status": f"IF({verdict.success}, 'passed', 'failed')",
+            "error": text_literal(self.error),
+            "observed": verdict.observed,
+            "element_count": verdict.elements,
+            "unexpected_count": verdict.unexpected,
+        }
+        return struct_sql(
+            {
+                f.name: f"CAST({values[f.name] or 'NULL'} AS {f.dataType.simpleString()})"
+                for f in CHECK_RESULT.fields
+            }
         )
-        return _result_struct(self, verdict)
 
     def failed(self, message: str) -> tuple:
         """The result row of a rule whose evaluation broke."""
@@ -134,28 +150,6 @@ class Check:
         return (self.pos, kind, self.column, self.kwargs, False, "failed", message, None, None, None)
 
 
-def _result_struct(check: Check, verdict: Verdict) -> Column:
-    success = F.coalesce(verdict.success, F.lit(False))
-    values = {
-        "pos": F.lit(check.pos),
-        "expectation_type": F.lit(check.rule.expectation_type),
-        "column": F.lit(check.column),
-        "kwargs": F.lit(check.kwargs),
-        "success": success,
-        "status": F.when(success, F.lit("passed")).otherwise(F.lit("failed")),
-        "error": F.lit(check.error),
-        "observed": verdict.observed,
-        "element_count": verdict.elements,
-        "unexpected_count": verdict.unexpected,
-    }
-    return F.struct(
-        *[
-            (F.lit(None) if values[f.name] is None else values[f.name]).cast(f.dataType).alias(f.name)
-            for f in CHECK_RESULT.fields
-        ]
-    )
-
-
 def bind(pos: int, rule: Rule, schema: T.StructType, spark: SparkSession) -> Check:
     """Check a rule against a schema without touching the data."""
     kind, kwargs = rule.expectation_type, dict(rule.kwargs)
@@ -204,11 +198,11 @@ def _verdict(
         raise RuleError("missing parameter: column")
     if kind == "expect_column_to_exist":
         found = position is not None
-        return lambda m: Verdict(F.lit(found))
+        return lambda m: Verdict("TRUE" if found else "FALSE")
     if position is None:
         raise RuleError(f"no such column: {kwargs['column']}")
     dtype = schema.fields[position].dataType
-    mostly = _mostly(kwargs)
+    column, mostly = f"c{position}", _mostly(kwargs)
     if kind == "expect_column_values_to_not_be_null":
         return lambda m: _tolerant(_row_total(m), _nulls(m, position), mostly)
     if kind == "expect_column_values_to_be_unique":
@@ -216,24 +210,22 @@ def _verdict(
             raise RuleError(f"uniqueness is not defined for type {dtype.simpleString()}")
         return lambda m: _unique(m, position, mostly)
     if kind == "expect_column_values_to_match_regex":
-        pattern = _pattern(kwargs, spark)
-        return lambda m: _scalar(
-            m, position, f"regex:{pattern}", ~F.col(f"c{position}").cast("string").rlike(pattern), mostly
-        )
+        if isinstance(dtype, T.VariantType):
+            raise RuleError("a regular expression is not defined for type variant")
+        pattern = text_literal(_pattern(kwargs, spark))
+        return lambda m: _scalar(m, position, f"NOT CAST({column} AS STRING) RLIKE {pattern}", mostly)
     if kind == "expect_column_values_to_be_in_set":
-        members = _members(kwargs, dtype)
-        value = F.col(f"c{position}")
-        outside = value.isNotNull() & ~F.coalesce(value.isin(*members), F.lit(False))
-        key = f"set:{json.dumps(kwargs['value_set'], default=str)}"
-        return lambda m: _scalar(m, position, key, outside, mostly)
+        members = ", ".join(_members(kwargs, dtype))
+        # A value set may hold NULLs, and "not IN" is then NULL for a stranger.
+        inside = f"coalesce({column} IN ({members}), FALSE)" if members else "FALSE"
+        return lambda m: _scalar(m, position, f"{column} IS NOT NULL AND NOT {inside}", mostly)
     if not isinstance(dtype, T.NumericType):
         raise RuleError(f"not a numeric column: {kwargs['column']} ({dtype.simpleString()})")
     bounds = _Bounds.of(kwargs)
     if kind == "expect_column_mean_to_be_between":
         return lambda m: _mean(m, position, bounds)
-    return lambda m: _scalar(
-        m, position, f"range:{bounds}", ~bounds.hold(F.col(f"c{position}").cast("double"), dtype), mostly
-    )
+    outside = f"NOT ({bounds.hold(f'CAST({column} AS DOUBLE)')})"
+    return lambda m: _scalar(m, position, outside, mostly)
 
 
 # -- parameters ---------------------------------------------------------------
@@ -255,20 +247,21 @@ class _Bounds:
             raise RuleError(f"min_value {low} is greater than max_value {high}")
         return cls(low, high, _flag(kwargs, "strict_min"), _flag(kwargs, "strict_max"))
 
-    def hold(self, value: Column, dtype: T.DataType) -> Column:
-        """Whether the bounds hold; NULL for NULL."""
+    def hold(self, value: str) -> str:
+        """Whether a DOUBLE is within the bounds; NULL for NULL."""
         tests = []
         if self.low is not None:
-            tests.append(value > self.low if self.above else value >= self.low)
+            tests.append(f"{value} {'>' if self.above else '>='} {_number(self.low)}")
         if self.high is not None:
-            tests.append(value < self.high if self.below else value <= self.high)
-        if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
-            # NaN sorts above every number, so a lower bound alone lets it pass.
-            tests.append(F.when(value.isNotNull(), ~F.isnan(value)))
-        result = tests[0]
-        for test in tests[1:]:
-            result = result & test
-        return result
+            tests.append(f"{value} {'<' if self.below else '<='} {_number(self.high)}")
+        # NaN sorts above every number, so a lower bound alone lets it pass.
+        return " AND ".join([*tests, f"NOT isnan({value})"])
+
+
+def _number(value: float) -> str:
+    if math.isinf(value):
+        return "double('-Infinity')" if value < 0 else "double('Infinity')"
+    return f"{value!r}D"
 
 
 def _bound(kwargs: Mapping[str, object], key: str) -> float | None:
@@ -304,19 +297,24 @@ def _mostly(kwargs: Mapping[str, object]) -> float | None:
     return share
 
 
+_valid_patterns: set[str] = set()
+
+
 def _pattern(kwargs: Mapping[str, object], spark: SparkSession) -> str:
     pattern = kwargs.get("regex")
     if not isinstance(pattern, str):
         raise RuleError("missing parameter: regex")
-    try:
-        # Folded to a constant by the optimizer: no job is started.
-        spark.sql("SELECT '' RLIKE :p AS m", args={"p": pattern}).collect()
-    except Exception as problem:
-        raise RuleError(f"invalid regular expression: {pattern}") from problem
+    if pattern not in _valid_patterns:
+        try:
+            # Folded to a constant by the optimizer: no job is started.
+            spark.sql("SELECT '' RLIKE :p AS m", args={"p": pattern}).collect()
+        except Exception as problem:
+            raise RuleError(f"invalid regular expression: {pattern}") from problem
+        _valid_patterns.add(pattern)
     return pattern
 
 
-def _members(kwargs: Mapping[str, object], dtype: T.DataType) -> list[Column]:
+def _members(kwargs: Mapping[str, object], dtype: T.DataType) -> list[str]:
     if kwargs.get("value_set") is None:
         raise RuleError("missing parameter: value_set")
     values = parse_param("value_set", kwargs["value_set"])
@@ -328,60 +326,55 @@ def _members(kwargs: Mapping[str, object], dtype: T.DataType) -> list[Column]:
             continue
         if isinstance(value, float) and value.is_integer() and isinstance(dtype, T.IntegralType):
             value = int(value)
+        text = text_literal(str(value))
         # A text that is no value of the type turns to NULL and matches nothing.
-        members.append(F.lit(str(value)).try_cast(dtype))
+        members.append(text if isinstance(dtype, T.StringType) else f"try_cast({text} AS {dtype.simpleString()})")
     return members
 
 
 # -- verdicts -----------------------------------------------------------------
 
 
-def _row_total(m: Measures) -> Column:
-    return m.need("rows", F.count(F.lit(1)))
+def _row_total(m: Measures) -> str:
+    return m.need("count(1)")
 
 
-def _nulls(m: Measures, position: int) -> Column:
-    return m.need(f"nulls:{position}", F.count_if(F.col(f"c{position}").isNull()))
+def _nulls(m: Measures, position: int) -> str:
+    return m.need(f"count_if(c{position} IS NULL)")
 
 
-def _present(m: Measures, position: int) -> Column:
-    return _row_total(m) - _nulls(m, position)
+def _present(m: Measures, position: int) -> str:
+    return f"({_row_total(m)} - {_nulls(m, position)})"
 
 
-def _scalar(m: Measures, position: int, key: str, unexpected: Column, mostly: float | None) -> Verdict:
-    bad = m.need(f"{key}:{position}", F.count_if(unexpected))
-    return _tolerant(_present(m, position), bad, mostly)
+def _scalar(m: Measures, position: int, unexpected: str, mostly: float | None) -> Verdict:
+    return _tolerant(_present(m, position), m.need(f"count_if({unexpected})"), mostly)
 
 
-def _tolerant(elements: Column, unexpected: Column, mostly: float | None) -> Verdict:
+def _tolerant(elements: str, unexpected: str, mostly: float | None) -> Verdict:
     if mostly is None:
-        success = unexpected == 0
+        success = f"{unexpected} = 0"
     else:
-        share = F.try_divide((elements - unexpected).cast("double"), elements.cast("double"))
-        success = F.coalesce(share >= mostly, F.lit(True))
+        share = f"try_divide(CAST({elements} - {unexpected} AS DOUBLE), {elements})"
+        success = f"coalesce({share} >= {_number(mostly)}, TRUE)"
     return Verdict(success, elements=elements, unexpected=unexpected)
 
 
 def _unique(m: Measures, position: int, mostly: float | None) -> Verdict:
-    here = (F.col("pos") == position) & ~F.col("is_null")
-    elements = m.need(f"values:{position}", F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)))
-    repeated = F.when(here & (F.col("n") > 1), F.col("n"))
-    unexpected = m.need(f"repeated:{position}", F.coalesce(F.sum(repeated), F.lit(0)))
+    here = f"pos = {position} AND NOT is_null"
+    elements = m.need(f"coalesce(sum(n) FILTER (WHERE {here}), 0)")
+    unexpected = m.need(f"coalesce(sum(n) FILTER (WHERE {here} AND n > 1), 0)")
     return _tolerant(elements, unexpected, mostly)
 
 
 def _row_count(m: Measures, bounds: _Bounds) -> Verdict:
     rows = _row_total(m)
-    return Verdict(
-        bounds.hold(rows.cast("double"), T.LongType()), observed=rows.cast("double"), elements=rows
-    )
+    return Verdict(bounds.hold(f"CAST({rows} AS DOUBLE)"), observed=rows, elements=rows)
 
 
 def _mean(m: Measures, position: int, bounds: _Bounds) -> Verdict:
-    mean = m.need(f"mean:{position}", F.avg(F.col(f"c{position}").cast("double")))
-    return Verdict(
-        bounds.hold(mean, T.DoubleType()), observed=mean, elements=_present(m, position)
-    )
+    mean = m.need(f"avg(CAST(c{position} AS DOUBLE))")
+    return Verdict(bounds.hold(mean), observed=mean, elements=_present(m, position))
 
 
 def bind_all(rules: Sequence[Rule], schema: T.StructType, spark: SparkSession) -> list[Check]:

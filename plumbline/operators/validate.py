@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import positional, resolve_column
 from plumbline.functions.numbers import rate_half_even
+from plumbline.functions.text import text_literal
 from plumbline.operators.rules import CHECK_RESULT, Check, Rule, bind_all
-from plumbline.plans.fused import Measures, literal_rows, single_rows
+from plumbline.plans.fused import Measures, in_order, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, value_counts
 
 # Aggregates computed by one pass. Beyond 100 columns Spark leaves whole-stage
@@ -73,8 +74,7 @@ def _bound(df: DataFrame, rules: Sequence[Rule]) -> list[Check]:
 
 def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int, measures_per_scan: int) -> DataFrame:
     flat = positional(df)
-    settled = [c.row(Measures()) for c in checks if _is_settled(c)]
-    parts: list[tuple[DataFrame, list[Column]]] = []
+    parts: list[tuple[DataFrame, list[str]]] = []
     scalar = [c for c in checks if not c.by_value and not _is_settled(c)]
     for chunk in _chunks(scalar, measures_per_scan):
         measures = Measures()
@@ -86,11 +86,11 @@ def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int, mea
         rows = [c.row(measures) for c in by_value]
         positions = sorted({c.position for c in by_value})
         parts.append((measures.over(value_counts(df, positions, columns_per_scan)), rows))
-    if parts and settled:
-        parts[0][1].extend(settled)
-    elif settled:
+    settled = [c.row(Measures()) for c in checks if _is_settled(c)]
+    if not parts:
         return literal_rows(df.sparkSession, settled).sortWithinPartitions("pos")
-    return single_rows(parts, order_by="pos")
+    parts[0][1].extend(settled)
+    return in_order([unpack(row, structs) for row, structs in parts], "pos")
 
 
 def _is_settled(check: Check) -> bool:
@@ -135,11 +135,13 @@ def missing_column_warnings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule that names a column the dataset does not have under
     exactly that name, with the name that differs in case only as a suggestion."""
     rows = [
-        F.struct(
-            F.lit(pos).alias("pos"),
-            F.lit(name).alias("column"),
-            F.lit(suggestion).cast("string").alias("suggestion"),
-            F.lit(missing_column_message(name, suggestion)).alias("message"),
+        struct_sql(
+            {
+                "pos": str(pos),
+                "column": text_literal(name),
+                "suggestion": text_literal(suggestion),
+                "message": text_literal(missing_column_message(name, suggestion)),
+            }
         )
         for pos, name, suggestion in missing_columns(df.columns, rules)
     ]
@@ -189,24 +191,25 @@ def run_report(
 ) -> DataFrame:
     """The run as one nested row: what was checked, the warnings, the totals and
     the results in rule order (as many as the suite has rules)."""
-    passed = F.count_if("success")
-    total = F.count(F.lit(1))
-    fields = F.struct(*[F.col(f.name) for f in CHECK_RESULT.fields])
-    folded = validate(df, rules).agg(
-        total.alias("total"), passed.alias("passed"), F.sort_array(F.collect_list(fields)).alias("results")
+    fields = ", ".join(f"`{f.name}`" for f in CHECK_RESULT.fields)
+    folded = validate(df, rules).selectExpr(
+        "count(1) AS total",
+        "count_if(success) AS passed",
+        f"sort_array(collect_list(struct({fields}))) AS results",
     )
     warnings = [
-        F.struct(F.lit(name).alias("column"), F.lit(missing_column_message(name, hint)).alias("message"))
+        struct_sql({"column": text_literal(name), "message": text_literal(missing_column_message(name, hint))})
         for _, name, hint in missing_columns(df.columns, rules)
     ]
+    columns = ", ".join(text_literal(c) for c in sorted(set(df.columns)))
     return folded.select(
         F.lit(run_id).alias("run_id"),
         F.lit(suite_name).alias("suite_name"),
         F.lit(source_type).alias("source_type"),
         F.lit(source_label).alias("source_label"),
-        F.array(*[F.lit(c) for c in sorted(set(df.columns))]).alias("available_columns"),
+        F.expr(f"array({columns}) AS available_columns"),
         (F.current_timestamp() if run_time is None else run_time).alias("run_time"),
-        F.array(*warnings).cast("array<struct<column:string,message:string>>").alias("warnings"),
+        F.expr(f"CAST(array({', '.join(warnings)}) AS array<struct<column:string,message:string>>) AS warnings"),
         F.struct(
             "total",
             "passed",

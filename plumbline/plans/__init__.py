@@ -1,7 +1,15 @@
 """Physical shapes the operators share: passes over the data that answer many
 questions at once."""
 
-from plumbline.plans.fused import Measures, literal_rows, single_rows
+from plumbline.plans.fused import Measures, in_order, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, value_counts
 
-__all__ = ["DEFAULT_COLUMNS_PER_SCAN", "Measures", "literal_rows", "single_rows", "value_counts"]
+__all__ = [
+    "DEFAULT_COLUMNS_PER_SCAN",
+    "Measures",
+    "in_order",
+    "literal_rows",
+    "struct_sql",
+    "unpack",
+    "value_counts",
+]

@@ -1,46 +1,57 @@
-"""Many scalar aggregates in one pass over the data."""
+"""Many scalar aggregates in one pass over the data.
+
+Expressions are written as SQL text: a suite has hundreds of them, and a text
+costs the driver one call where a tree of Column objects costs one per node.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class Measures:
-    """The aggregates one pass computes. Asking twice for the same key yields the
-    same output column, so rules that share a count share its computation."""
+    """The aggregates one pass computes. Asking twice for the same aggregate
+    yields the same output column, so rules that share a count share its
+    computation."""
 
     def __init__(self) -> None:
-        self._columns: dict[str, Column] = {}
+        self._names: dict[str, str] = {}
 
     def __len__(self) -> int:
-        return len(self._columns)
+        return len(self._names)
 
-    def need(self, key: str, aggregate: Column) -> Column:
-        name = f"m{list(self._columns).index(key)}" if key in self._columns else f"m{len(self)}"
-        self._columns.setdefault(key, aggregate.alias(name))
-        return F.col(name)
+    def need(self, aggregate: str) -> str:
+        """The name of the column that will hold the aggregate."""
+        return self._names.setdefault(aggregate, f"m{len(self._names)}")
 
     def over(self, df: DataFrame) -> DataFrame:
         """The one-row DataFrame with every requested aggregate."""
-        return df.agg(*self._columns.values())
+        return df.agg(*[F.expr(f"{sql} AS {name}") for sql, name in self._names.items()])
+
+
+def struct_sql(fields: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
+def unpack(row: DataFrame, structs: Sequence[str]) -> DataFrame:
+    """Turn a one-row DataFrame into rows, one per struct expression over it."""
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def literal_rows(spark: SparkSession, structs: Sequence[Column]) -> DataFrame:
+def literal_rows(spark: SparkSession, structs: Sequence[str]) -> DataFrame:
     """Rows written out in the program, in a single task."""
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    return unpack(spark.range(0, 1, 1, 1), structs)
 
 
-def single_rows(parts: Sequence[tuple[DataFrame, Sequence[Column]]], order_by: str) -> DataFrame:
-    """Turn one-row DataFrames into result rows: each part's structs become rows,
-    and all rows come out in one partition ordered by ``order_by``.
+def in_order(parts: Sequence[DataFrame], order_by: str) -> DataFrame:
+    """The rows of several unpacked parts, ordered, in one partition.
 
     The row count is the number of structs written in the program, never the
     data's, and every part sits behind its own shuffle, so the single partition
     only holds finished results.
     """
-    rows = [row.select(F.inline(F.array(*structs))) for row, structs in parts]
-    return reduce(DataFrame.unionByName, rows).coalesce(1).sortWithinPartitions(order_by)
+    return reduce(DataFrame.unionByName, parts).coalesce(1).sortWithinPartitions(order_by)

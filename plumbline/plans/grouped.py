@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,22 +25,24 @@ from plumbline.functions.columns import positional
 # whole whatever is selected (CSV, JSON, a join), a wider set saves re-reading.
 DEFAULT_COLUMNS_PER_SCAN = 4
 
+# For inputs that are read whole: wide, but within what one aggregate can hold.
+WHOLE_ROW_COLUMNS_PER_SCAN = 12
+
 # Grouping keys longer than this travel as their SHA-256 digest. A digest is 64
 # hex digits, so a shorter raw key can never be mistaken for one.
 _LONGEST_RAW_KEY = 63
 
 
-def _key(column: Column, dtype: T.DataType) -> Column:
+def _key(column: str, dtype: T.DataType) -> str:
     """The value to group by: texts and blobs have a bounded width, so that the
     shuffle moves 64 bytes per distinct document rather than the document."""
     if dtype == T.StringType():
-        blob = column.cast("binary")
-        return F.when(F.octet_length(column) <= _LONGEST_RAW_KEY, column).otherwise(F.sha2(blob, 256))
-    if isinstance(dtype, T.BinaryType):
-        return F.when(F.octet_length(column) <= _LONGEST_RAW_KEY, column).otherwise(
-            F.sha2(column, 256).cast("binary")
-        )
-    return column
+        digest = f"sha2(CAST({column} AS BINARY), 256)"
+    elif isinstance(dtype, T.BinaryType):
+        digest = f"CAST(sha2({column}, 256) AS BINARY)"
+    else:
+        return column
+    return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY} THEN {column} ELSE {digest} END"
 
 
 def value_counts(
@@ -62,44 +64,37 @@ def value_counts(
     chunks = [
         positions[i : i + columns_per_scan] for i in range(0, len(positions), columns_per_scan)
     ]
-    parts = [_chunk_counts(flat, fields, chunk) for chunk in chunks]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_chunk_counts(flat, fields, c) for c in chunks])
 
 
 def _chunk_counts(flat: DataFrame, fields: Sequence[T.StructField], chunk: Sequence[int]) -> DataFrame:
     names = [f"k{p}" for p in chunk]
-    keys = flat.select(
-        *[_key(F.col(f"c{p}"), fields[p].dataType).alias(f"k{p}") for p in chunk]
-    )
-    count = F.count(F.lit(1)).alias("n")
+    keys = flat.selectExpr(*[f"{_key(f'c{p}', fields[p].dataType)} AS k{p}" for p in chunk])
+    count = F.expr("count(1) AS n")
     if len(chunk) == 1:
-        return keys.groupBy(names[0]).agg(count).select(
-            F.lit(chunk[0]).alias("pos"),
-            F.col(names[0]).isNull().alias("is_null"),
-            _as_double(names[0], fields[chunk[0]].dataType).alias("value"),
-            "n",
+        grouped = keys.groupBy(names[0]).agg(count)
+        ids = None
+    else:
+        grouped = keys.groupingSets([[k] for k in names], *names).agg(
+            count, F.expr("grouping_id() AS gid")
         )
-    grouped = keys.groupingSets([[F.col(k)] for k in names], *[F.col(k) for k in names]).agg(
-        count, F.grouping_id().alias("gid")
-    )
-    # grouping_id has one bit per key, first key highest, and the bit is 0 for the
-    # key the set groups by.
-    everything = (1 << len(chunk)) - 1
-    ids = [everything ^ (1 << (len(chunk) - 1 - j)) for j in range(len(chunk))]
-
-    def pick(columns: Sequence[Column]) -> Column:
-        return F.coalesce(*[F.when(F.col("gid") == g, c) for g, c in zip(ids, columns)])
-
-    return grouped.select(
-        pick([F.lit(p) for p in chunk]).alias("pos"),
-        pick([F.col(k).isNull() for k in names]).alias("is_null"),
-        pick([_as_double(k, fields[p].dataType) for k, p in zip(names, chunk)]).alias("value"),
+        # grouping_id has one bit per key, first key highest, and the bit is 0 for
+        # the key the set groups by.
+        everything = (1 << len(chunk)) - 1
+        ids = [everything ^ (1 << (len(chunk) - 1 - j)) for j in range(len(chunk))]
+
+    def pick(values: Sequence[str]) -> str:
+        if ids is None:
+            return values[0]
+        return "CASE gid " + " ".join(f"WHEN {g} THEN {v}" for g, v in zip(ids, values)) + " END"
+
+    return grouped.selectExpr(
+        f"{pick([str(p) for p in chunk])} AS pos",
+        f"{pick([f'{k} IS NULL' for k in names])} AS is_null",
+        f"{pick([_as_double(k, fields[p].dataType) for k, p in zip(names, chunk)])} AS value",
         "n",
     )
 
 
-def _as_double(name: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.NumericType):
-        return F.col(name).cast("double")
-    return F.lit(None).cast("double")
-
+def _as_double(name: str, dtype: T.DataType) -> str:
+    return f"CAST({name if isinstance(dtype, T.NumericType) else 'NULL'} AS DOUBLE)"

@@ -15,7 +15,7 @@ from plumbline.sources.jdbc import (
     read_jdbc,
 )
 from plumbline.sources.scratch import scratch_path
-from plumbline.sources.spec import SourceSpec, resolve, source_label
+from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve, source_label
 from plumbline.sources.sql import read_sql
 
 __all__ = [
@@ -31,6 +31,7 @@ __all__ = [
     "read_jdbc",
     "read_path",
     "read_sql",
+    "reads_whole_rows",
     "resolve",
     "scratch_path",
     "source_label",

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.sources.files import file_inventory, object_path, read_path
+from plumbline.sources.files import file_inventory, format_of, object_path, read_path
 from plumbline.sources.jdbc import read_jdbc
 from plumbline.sources.sql import read_sql
 
@@ -48,6 +48,13 @@ def resolve(spark: SparkSession, source: SourceSpec) -> DataFrame:
     return read_sql(spark, source.ref, source.options.get("tables"))
 
 
+def reads_whole_rows(source: SourceSpec) -> bool:
+    """Whether a scan of one column costs about as much as a scan of all."""
+    if source.type in (LOCAL, OBJECT_STORE) and source.ref:
+        return format_of(source.ref) != "parquet"
+    return True
+
+
 def source_label(source: SourceSpec) -> str:
     """Short name of a source: the last path component of a file, the table or
     query text otherwise."""
