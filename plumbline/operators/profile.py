@@ -108,7 +108,7 @@ def dataset_summary(df: DataFrame, label: str) -> DataFrame:
         "count(1) AS rows",
         f"{len(df.columns)} AS columns",
         f"coalesce(sum({nulls}), 0) AS total_nulls",
-        f"first({shown}) AS format",
+        f"{shown} AS format",
     )
 
 
@@ -163,7 +163,7 @@ def _from_counts(df: DataFrame, positions: Sequence[int], columns_per_scan: int)
 
 
 def _nulls(column: str) -> str:
-    return f"count_if({column} IS NULL)"
+    return f"count(CASE WHEN {column} IS NULL THEN 1 END)"
 
 
 def _range(column: str, dtype: T.DataType) -> dict[str, str]:

@@ -340,7 +340,7 @@ def _row_total(m: Measures) -> str:
 
 
 def _nulls(m: Measures, position: int) -> str:
-    return m.need(f"count_if(c{position} IS NULL)")
+    return m.need(f"count(CASE WHEN c{position} IS NULL THEN 1 END)")
 
 
 def _present(m: Measures, position: int) -> str:
@@ -348,7 +348,7 @@ def _present(m: Measures, position: int) -> str:
 
 
 def _scalar(m: Measures, position: int, unexpected: str, mostly: float | None) -> Verdict:
-    return _tolerant(_present(m, position), m.need(f"count_if({unexpected})"), mostly)
+    return _tolerant(_present(m, position), m.need(f"count(CASE WHEN {unexpected} THEN 1 END)"), mostly)
 
 
 def _tolerant(elements: str, unexpected: str, mostly: float | None) -> Verdict:

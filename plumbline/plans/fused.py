@@ -16,13 +16,20 @@ from pyspark.sql import functions as F
 class Measures:
     """The aggregates one pass computes. Asking twice for the same aggregate
     yields the same output column, so rules that share a count share its
-    computation."""
+    computation.
+
+    Conditional counts are best written ``count(CASE WHEN ... THEN 1 END)``:
+    ``count_if`` makes Spark compute all conditions of the pass in one generated
+    method, which a few dozen rules make too long for the JIT compiler.
+    """
 
     def __init__(self) -> None:
         self._names: dict[str, str] = {}
 
-    def __len__(self) -> int:
-        return len(self._names)
+    @property
+    def slots(self) -> int:
+        """Buffer columns of the aggregation: an average keeps a sum and a count."""
+        return sum(2 if sql.startswith("avg(") else 1 for sql in self._names)
 
     def need(self, aggregate: str) -> str:
         """The name of the column that will hold the aggregate."""
