@@ -1,2 +1,49 @@
 """Data quality on Spark DataFrames: sources, profiles, rule suites, run history
 and a metadata catalog."""
+
+from plumbline.operators.preview import columns, preview, row_count
+from plumbline.operators.profile import (
+    dataset_summary,
+    distinct_counts,
+    null_counts,
+    numeric_stats,
+    profile,
+    profile_source,
+    with_percentages,
+)
+from plumbline.operators.rules import RULE_TYPES, Rule
+from plumbline.operators.validate import (
+    missing_column_warnings,
+    run_report,
+    run_status,
+    run_summary,
+    validate,
+    validate_isolated,
+    validate_many,
+)
+from plumbline.sources import SourceSpec, read_path, resolve
+
+__all__ = [
+    "RULE_TYPES",
+    "Rule",
+    "SourceSpec",
+    "columns",
+    "dataset_summary",
+    "distinct_counts",
+    "missing_column_warnings",
+    "null_counts",
+    "numeric_stats",
+    "preview",
+    "profile",
+    "profile_source",
+    "read_path",
+    "resolve",
+    "row_count",
+    "run_report",
+    "run_status",
+    "run_summary",
+    "validate",
+    "validate_isolated",
+    "validate_many",
+    "with_percentages",
+]

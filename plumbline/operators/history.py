@@ -65,13 +65,19 @@ def latest_runs(runs: DataFrame, n: int = RUNS_KEPT) -> DataFrame:
 
 
 def history_results(runs: DataFrame) -> DataFrame:
-    """One row per run and rule result."""
-    return runs.select(
+    """One row per run and rule result.
+
+    The result's fields are picked after the explode, so that a query on a few of
+    them reads only those from the nested column.
+    """
+    exploded = runs.select(
         "run_id",
         "suite_name",
         "source_type",
         "source_label",
         "run_time",
         F.col("summary.success_rate").alias("success_rate"),
-        F.inline("results"),
+        F.explode("results").alias("result"),
     )
+    fields = [f"result.`{f.name}`" for f in CHECK_RESULT.fields]
+    return exploded.select(*[c for c in exploded.columns if c != "result"], *fields)

@@ -40,10 +40,12 @@ def suites_from_json(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def suite_rules(suites: DataFrame) -> DataFrame:
-    """One row per rule: ``(suite, pos, expectation_type, kwargs)``."""
+def suite_rules(suites: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """One row per rule: ``(suite, pos, expectation_type, kwargs)``; with
+    ``keep_empty`` a suite without rules has one row without a rule."""
+    explode = F.posexplode_outer if keep_empty else F.posexplode
     return suites.select(
-        F.col("name").alias("suite"), F.posexplode("expectations").alias("pos", "rule")
+        F.col("name").alias("suite"), explode("expectations").alias("pos", "rule")
     ).select("suite", "pos", "rule.expectation_type", "rule.kwargs")
 
 

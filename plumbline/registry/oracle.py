@@ -507,7 +507,7 @@ ORACLE_SQL["suite_edit"] = f"""
     )
     SELECT suite, pos, expectation_type, "column" FROM left_over
     UNION ALL
-    SELECT suite, -1, '', '' FROM all_suites
+    SELECT suite, NULL, NULL, NULL FROM all_suites
     WHERE suite NOT IN (SELECT suite FROM existing WHERE p_size = 9)
       AND suite NOT IN (SELECT suite FROM left_over)
 """

@@ -376,13 +376,9 @@ def suite_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     removed = suites.remove_rules(added, part.select(name.alias("suite"), F.lit(0).alias("pos")))
     remaining = suites.delete_suites(removed, part.filter("p_size = 9").select(name.alias("name")))
-    rules = suites.suite_rules(remaining).select(
+    return suites.suite_rules(remaining, keep_empty=True).select(
         "suite", "pos", "expectation_type", F.col("kwargs")["column"].alias("column")
     )
-    empty = suites.suite_sizes(remaining).filter("rules = 0").select(
-        "suite", F.lit(-1).alias("pos"), F.lit("").alias("expectation_type"), F.lit("").alias("column")
-    )
-    return rules.unionByName(empty)
 
 
 # -- history ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed value: lists the tables of the public schema.
@@ -16,8 +18,7 @@ def postgres_url(host: str, database: str, port: int | str = 5432) -> str:
 
 def is_query(text: str) -> bool:
     """Whether a reference is a query rather than a table name."""
-    words = text.split(None, 1)
-    return bool(words) and words[0].upper().split("(")[0] in ("SELECT", "WITH")
+    return re.match(r"\s*(SELECT|WITH)\b", text, re.IGNORECASE) is not None
 
 
 def jdbc_options(

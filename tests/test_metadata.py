@@ -114,6 +114,9 @@ def test_history(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan
     rows = history.history_results(runs).orderBy("run_id").collect()
     assert [(r["run_id"], r["pos"], r["observed"], r["success_rate"]) for r in rows] == [(f"run{i}", 0, 3.0, 100.0) for i in range(4)]
+    narrow = history.history_results(runs).groupBy("run_id").agg(F.count_if("success"))
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "results:array<struct<success:boolean>>" in plan
     history.clear_runs(spark, path)
     assert history.read_runs(spark, path).count() == 0
 

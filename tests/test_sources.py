@@ -120,6 +120,7 @@ def test_jdbc_table_and_query():
     assert jdbc_options(url, "public.t", user="u")["dbtable"] == "public.t"
     assert jdbc_options(url, " select a from t; ")["dbtable"] == "(select a from t) t"
     assert jdbc_options(url, "WITH x AS (SELECT 1) SELECT * FROM x")["dbtable"].startswith("(WITH")
+    assert jdbc_options(url, "SELECT*FROM t")["dbtable"] == "(SELECT*FROM t) t"
     assert jdbc_options(url, "selections")["dbtable"] == "selections"
     assert "user" not in jdbc_options(url, "t")
     with pytest.raises(ValueError):
