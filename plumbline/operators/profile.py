@@ -62,8 +62,9 @@ def profile(
     columns minimum, maximum and mean.
 
     Exact profiles derive everything from the counts per distinct value, so the
-    dataset is read once, ``columns_per_scan`` columns at a time. Give all columns
-    one scan when reading is expensive whatever is selected (CSV, JSON, a query).
+    dataset is read once, ``columns_per_scan`` columns at a time. Let several
+    columns share a scan when reading is expensive whatever is selected (CSV,
+    JSON, a query).
 
     ``exact=False`` estimates the distinct counts (to a few percent) and shuffles
     one small row per task instead of the distinct values.
@@ -76,7 +77,7 @@ def profile(
     if countable:
         parts.append(_from_counts(df, countable, columns_per_scan))
     if rest:
-        parts.append(_side_by_side(df, rest, _estimate))
+        parts.append(_without_counts(df, rest, estimate=not exact))
     stats = reduce(DataFrame.unionByName, parts)
     named = _named(df, stats, "nulls", "unique", "total", "min", "max", "mean", types=True)
     return named.coalesce(1).sortWithinPartitions("pos")
@@ -173,14 +174,28 @@ def _range(column: str, dtype: T.DataType) -> dict[str, str]:
     return {"min": f"min({value})", "max": f"max({value})", "mean": f"avg({value})"}
 
 
-def _estimate(column: str, dtype: T.DataType) -> dict[str, str]:
-    # The estimate skips NULL, which counts as a value.
-    unique = (
-        f"approx_count_distinct({column}) + CAST(coalesce(bool_or({column} IS NULL), FALSE) AS BIGINT)"
-        if groupable(dtype)
-        else "CAST(NULL AS BIGINT)"
+def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) -> DataFrame:
+    """Statistics of columns whose distinct values are not counted exactly."""
+    fields = df.schema.fields
+    plain = _side_by_side(
+        df,
+        positions,
+        lambda c, dtype: {"nulls": _nulls(c), "total": "count(1)", **_range(c, dtype)},
+    )
+    estimable = [p for p in positions if estimate and groupable(fields[p].dataType)]
+    if not estimable:
+        return plain.withColumn("unique", F.lit(None).cast("bigint"))
+    # A pass of its own: the estimator's sketches would keep the plain aggregates
+    # out of generated code. It skips NULL, which counts as a value.
+    estimates = _side_by_side(df, estimable, lambda c, _: {"unique": f"approx_count_distinct({c})"})
+    values = [c for c in plain.columns if c != "pos"]
+    return (
+        plain.unionByName(estimates, allowMissingColumns=True)
+        .groupBy("pos")
+        .agg(*[F.max(c).alias(c) for c in values], F.max("unique").alias("estimate"))
+        .withColumn("unique", F.col("estimate") + (F.col("nulls") > 0).cast("bigint"))
+        .drop("estimate")
     )
-    return {"nulls": _nulls(column), "unique": unique, "total": "count(1)", **_range(column, dtype)}
 
 
 def _side_by_side(
