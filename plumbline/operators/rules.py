@@ -318,7 +318,7 @@ def _members(kwargs: Mapping[str, object], dtype: T.DataType) -> list[str]:
     if kwargs.get("value_set") is None:
         raise RuleError("missing parameter: value_set")
     values = parse_param("value_set", kwargs["value_set"])
-    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType, T.CalendarIntervalType)):
         raise RuleError(f"a value set is not defined for type {dtype.simpleString()}")
     members = []
     for value in values:

@@ -378,7 +378,7 @@ ORACLE_SQL["validate_with_errors"] = (
             f"count(*) FILTER (o_totalprice < 1000) AS low, {_repeated('o_orderkey')} AS rk",
             [
                 _row(0, "o_orderkey", "nk = 0", elements="n", unexpected="nk", expectation_type=_NOT_NULL),
-                _row(1, "rank", "FALSE", "CAST_INVALID_INPUT", expectation_type=_BETWEEN),
+                _row(1, "rank", "FALSE", "USER_RAISED_EXCEPTION", expectation_type=_BETWEEN),
                 _row(2, "o_totalprice", "low = 0", elements="np", unexpected="low", expectation_type=_BETWEEN),
                 _row(3, "o_orderkey", "FALSE", "unsupported rule type: expect_column_values_to_be_sorted",
                      expectation_type="expect_column_values_to_be_sorted"),

@@ -271,9 +271,10 @@ def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def validate_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Reading the priority as a number fails for every row that has one.
+    # A computed column that fails for some of the rows.
+    rank = F.when(F.col("o_orderpriority") == "5-LOW", F.raise_error(F.lit("no rank"))).otherwise(1)
     broken = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_totalprice", F.col("o_orderpriority").cast("int").alias("rank")
+        "o_orderkey", "o_totalprice", rank.cast("int").alias("rank")
     )
     rules = [
         Rule("expect_column_values_to_not_be_null", {"column": "o_orderkey"}),
@@ -417,7 +418,7 @@ def _flat(entries: DataFrame) -> DataFrame:
         F.array_join("tags", "|").alias("tags"),
         "source_type",
         "source_ref",
-        F.size("fields").alias("n_fields"),
+        F.array_size("fields").alias("n_fields"),
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSS").alias("created_at"),
         F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSS").alias("updated_at"),
     )
@@ -479,7 +480,7 @@ def catalog_create(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("local").alias("source_type"),
         F.lit("").alias("source_ref"),
         F.lit(None).cast(catalog.FIELDS).alias("fields"),
-        F.timestamp_seconds(F.col("p_partkey")).cast("timestamp_ntz").alias("created_at"),
+        F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, p_partkey) AS created_at"),
     )
     added = catalog.create(current, requests)
     return _flat(added).filter("source_ref = ''")
