@@ -11,7 +11,7 @@ from plumbline.operators.profile import (
     profile_source,
     with_percentages,
 )
-from plumbline.operators.rules import RULE_TYPES, Rule
+from plumbline.operators.rules import RULE_DESCRIPTIONS, RULE_TYPES, Rule
 from plumbline.operators.validate import (
     missing_column_warnings,
     run_report,
@@ -20,10 +20,12 @@ from plumbline.operators.validate import (
     validate,
     validate_isolated,
     validate_many,
+    validate_source,
 )
 from plumbline.sources import SourceSpec, read_path, resolve
 
 __all__ = [
+    "RULE_DESCRIPTIONS",
     "RULE_TYPES",
     "Rule",
     "SourceSpec",
@@ -45,5 +47,6 @@ __all__ = [
     "validate",
     "validate_isolated",
     "validate_many",
+    "validate_source",
     "with_percentages",
 ]

@@ -40,6 +40,17 @@ RULE_TYPES: dict[str, tuple[str, ...]] = {
     "expect_column_mean_to_be_between": ("column", "min_value", "max_value"),
 }
 
+RULE_DESCRIPTIONS: dict[str, str] = {
+    "expect_column_to_exist": "the dataset has the column",
+    "expect_column_values_to_not_be_null": "no value is NULL",
+    "expect_column_values_to_be_unique": "no value occurs twice",
+    "expect_column_values_to_be_between": "every number is within the range, bounds included",
+    "expect_column_values_to_match_regex": "the pattern is found in every value",
+    "expect_column_values_to_be_in_set": "every value is one of the given ones",
+    "expect_table_row_count_to_be_between": "the number of rows is within the range, bounds included",
+    "expect_column_mean_to_be_between": "the mean is within the range, bounds included",
+}
+
 # Further parameters a rule takes.
 _OPTIONS: dict[str, tuple[str, ...]] = {
     "expect_column_values_to_not_be_null": ("mostly",),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import positional, resolve_column
@@ -13,7 +13,8 @@ from plumbline.functions.numbers import rate_half_even
 from plumbline.functions.text import text_literal
 from plumbline.operators.rules import CHECK_RESULT, Check, Rule, bind_all
 from plumbline.plans.fused import Measures, in_order, literal_rows, struct_sql, unpack
-from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, value_counts
+from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
+from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve
 
 # Aggregates computed by one pass. Beyond 100 columns Spark leaves whole-stage
 # code generation (twice as slow for 160 ranges); wider suites make several
@@ -38,6 +39,13 @@ def validate(
     return _evaluate(df, _bound(df, rules), columns_per_scan, measures_per_scan)
 
 
+def validate_source(spark: SparkSession, source: SourceSpec, rules: Sequence[Rule]) -> DataFrame:
+    """Validate a source, with as many uniqueness rules per scan as suits how it
+    is read."""
+    width = scan_width(reads_whole_rows(source))
+    return validate(resolve(spark, source), rules, columns_per_scan=width)
+
+
 def validate_isolated(
     df: DataFrame,
     rules: Sequence[Rule],

@@ -29,6 +29,12 @@ DEFAULT_COLUMNS_PER_SCAN = 1
 # re-reading weighs more.
 WHOLE_ROW_COLUMNS_PER_SCAN = 4
 
+
+def scan_width(whole_rows: bool) -> int:
+    """Columns per scan that suit how an input is read."""
+    return WHOLE_ROW_COLUMNS_PER_SCAN if whole_rows else DEFAULT_COLUMNS_PER_SCAN
+
+
 # Grouping keys longer than this travel as their SHA-256 digest. A digest is 64
 # hex digits, so a shorter raw key can never be mistaken for one.
 _LONGEST_RAW_KEY = 63

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from plumbline.operators.rules import RULE_TYPES, Rule, parse_param
+from plumbline.operators.rules import RULE_DESCRIPTIONS, RULE_TYPES, Rule, parse_param
 from plumbline.operators.validate import validate
 
 NAN = float("nan")
@@ -199,7 +199,7 @@ def test_unknown_rule_types(numbers):
     assert "unsupported rule type" in check(numbers, "expect_magic", column="x")["error"]
     with pytest.raises(ValueError):
         Rule.parse("expect_magic", {})
-    assert len(RULE_TYPES) == 8
+    assert len(RULE_TYPES) == 8 and list(RULE_TYPES) == list(RULE_DESCRIPTIONS)
 
 
 def test_parse_param():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import validate as v
 from plumbline.operators.rules import CHECK_RESULT, Rule
 from plumbline.registry.inputs import orders_suite
+from plumbline.sources import SourceSpec
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 
@@ -114,6 +115,20 @@ def test_report(spark):
     assert report["run_time"] is not None
 
 
+def test_validate_source(spark, tmp_path):
+    (tmp_path / "people.csv").write_text("id,name,pay\n1,Ann,10\n2,,-500\n2,Bob,\n")
+    source = SourceSpec("local", "people.csv", {"root": str(tmp_path)})
+    rules = [
+        Rule(NOT_NULL, {"column": "name"}),
+        Rule("expect_column_values_to_be_between", {"column": "pay", "min_value": 0, "max_value": 200000}),
+        *[Rule("expect_column_values_to_be_unique", {"column": c}) for c in ("id", "name", "pay")],
+    ]
+    result = v.validate_source(spark, source, rules)
+    # One scan for the values and one for all three uniqueness rules.
+    assert result._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    assert [r["unexpected_count"] for r in result.collect()] == [1, 1, 2, 0, 0]
+
+
 VALUES = st.one_of(st.none(), st.floats(width=32), st.sampled_from([0.0, -0.0, 1.0, float("nan")]))
 
 
