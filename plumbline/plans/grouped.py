@@ -21,7 +21,7 @@ from plumbline.functions.columns import positional
 # Columns that share one scan. A scan of column-wise files reads only the columns
 # it needs, so scanning k times costs no more bytes than once, while a shared scan
 # makes every grouping key k columns wide: over 30 million rows with four columns,
-# three of them with millions of values, one column per scan took half as long as
+# all with millions of values, one column per scan took half as long as
 # four.
 DEFAULT_COLUMNS_PER_SCAN = 1
 
