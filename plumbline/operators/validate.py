@@ -33,7 +33,7 @@ def validate(
     """One row per rule, in order (schema ``CHECK_RESULT``).
 
     All rules on single values, counts and means share one aggregation of the
-    dataset; uniqueness rules share a grouped one. Nothing runs until the result
+    dataset; uniqueness rules take grouped ones. Nothing runs until the result
     is used.
     """
     return _evaluate(df, _bound(df, rules), columns_per_scan, measures_per_scan)
