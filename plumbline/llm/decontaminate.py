@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterable
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -207,8 +208,8 @@ def contaminated(
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
 
-        def run(ids, texts, shared=shared):
-            found = _items(shared.id, shared.value).find(texts)
+        def run(ids, texts, shared=shared, name=uuid4().hex):
+            found = _items(name, shared.value).find(texts)
             rows = [(key, *hit) for key, hits in zip(ids, found) for hit in hits]
             return [[row[i] for row in rows] for i in range(4)]
 
