@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.sources.scratch import scratch_path
 
 
+#: Rows that a function of ``map_rows`` sees at a time.
+TOGETHER = 500
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -29,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -39,7 +41,7 @@ def map_rows(df: DataFrame, columns: list[str], function: Callable, schema: str)
     """``function`` on each batch of ``columns``: lists in, lists out.
 
     ``function`` takes one list per column and returns one list per column of
-    ``schema``. Batches are bounded by rows and bytes of the session's settings.
+    ``schema``. It gets at most ``TOGETHER`` rows at a time, whatever the session's batches.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -48,10 +50,12 @@ def map_rows(df: DataFrame, columns: list[str], function: Callable, schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = function(*(column.to_pylist() for column in batch.columns))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, field.type) for values, field in zip(results, arrow)], schema=arrow
-            )
+            for start in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(start, TOGETHER)
+                results = function(*(column.to_pylist() for column in rows.columns))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, field.type) for values, field in zip(results, arrow)], schema=arrow
+                )
 
     return df.select(*columns).mapInArrow(run, schema)
 
