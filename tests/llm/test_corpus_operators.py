@@ -225,8 +225,8 @@ def test_segments_over_stretches(monkeypatch):
 
 def test_column_sort_gives_order_and_common_prefixes():
     r = np.random.default_rng(3)
-    columns = r.integers(1, 4, (60, 12)).astype(np.uint16)
-    for column, order, common in substrings.column_sort(columns):
+    columns = r.integers(0, 3, (60, 12)).astype(np.uint8)
+    for column, order, common in substrings.column_sort(columns, np.zeros(60, int), np.full(60, 12)):
         rows = [tuple(columns[i, column:]) for i in order]
         assert rows == sorted(rows)
         for k in range(1, 60):
