@@ -61,6 +61,9 @@ def map_rows(df: DataFrame, columns: list[str], function: Callable, schema: str)
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (one column; NULL is an id), all columns as they are."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__kept_id")).distinct()
+    """The rows of ``docs`` whose id is in ``ids`` (one column; NULL is an id), all columns as they are.
+
+    The plan is the same at every size: ids grow with the data, so they are not broadcast.
+    """
+    wanted = ids.select(F.col(ids.columns[0]).alias("__kept_id")).distinct().hint("merge")
     return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__kept_id"]), "left_semi")

@@ -35,7 +35,7 @@ SIGNATURE = 112
 #: miss a pair whose similarity is just the threshold.
 DEPTHS, MISS = (3, 6, 12), 1e-4
 #: A prefix shared by more classes than this descends.
-CROWD = 40
+CROWD = 16
 
 
 def _order(level: int, tree: int) -> np.ndarray:
