@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import contains_ignore_case, strip, text_literal
+from plumbline.operators.stores import keyed_entries
 from plumbline.plans.fused import struct_sql
 
 FIELDS = "array<struct<name:string,type:string,description:string,nullable:boolean>>"
@@ -27,9 +28,7 @@ def read_catalog(spark: SparkSession, path: str, one_per_line: bool = False) ->
 def catalog_from_json(df: DataFrame, column: str) -> DataFrame:
     """Catalog rows from JSON objects keyed by entry name. What an older entry
     lacks (such as ``fields``) is NULL."""
-    parsed = df.select(
-        F.explode(F.from_json(F.col(column), f"map<string,{_ENTRY_JSON}>")).alias("key", "entry")
-    )
+    parsed = keyed_entries(df, column, _ENTRY_JSON)
     rest = [
         F.col(f"entry.{c}").try_cast("timestamp_ntz").alias(c) if c.endswith("_at") else F.col(f"entry.{c}")
         for c in COLUMNS[1:]
@@ -75,7 +74,7 @@ def create(catalog: DataFrame, entries: DataFrame) -> DataFrame:
     payload = [c for c in COLUMNS if c not in ("name", "created_at", "updated_at")]
     # The entry's own content breaks ties, so that a re-run picks the same one.
     chosen = clean.groupBy("name").agg(F.min(F.struct("created_at", *payload)).alias("entry"))
-    fresh = chosen.join(catalog.select("name"), "name", "left_anti").select(
+    fresh = chosen.join(catalog.select("name").distinct(), "name", "left_anti").select(
         "name", "entry.*", F.col("entry.created_at").alias("updated_at")
     )
     return catalog.select(*COLUMNS).unionByName(fresh.select(*COLUMNS))
@@ -117,7 +116,7 @@ def merge(catalog: DataFrame, changes: DataFrame) -> DataFrame:
 
 def delete(catalog: DataFrame, names: DataFrame) -> DataFrame:
     """Remove entries by ``name``."""
-    return catalog.join(names.select("name"), "name", "left_anti")
+    return catalog.join(names.select("name").distinct(), "name", "left_anti")
 
 
 def described_fields(catalog: DataFrame) -> DataFrame:

@@ -30,9 +30,13 @@ def preview(df: DataFrame, n: int = 10, order_by: Sequence[str | Column] = ()) -
 
     Without ``order_by`` any ``n`` rows may come; with it, each task keeps its own
     first ``n`` and only those are merged. The total is a subquery of its own that
-    reads no columns.
+    reads no columns. An empty dataset gives one row of NULLs with the total 0.
     """
     if n < 0:
         raise ValueError("n must not be negative")
+    if "total_rows" in [c.lower() for c in df.columns]:
+        raise ValueError("the dataset has a column total_rows, the name of the total")
     first = df.orderBy(*order_by).limit(n) if order_by else df.limit(n)
-    return first.select("*", row_count(df).scalar().alias("total_rows"))
+    none = row_count(df).filter("total_rows = 0")
+    blank = none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], "total_rows")
+    return first.select("*", row_count(df).scalar().alias("total_rows")).union(blank)

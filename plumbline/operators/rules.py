@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -77,19 +79,35 @@ CHECK_RESULT = T.StructType(
 )
 
 
-def parse_param(key: str, value: object) -> object:
-    """Parameter values as a form sends them: bounds become numbers where they
-    can, a blank bound no bound, and a value set a list of trimmed texts."""
-    if key in ("min_value", "max_value"):
-        if isinstance(value, str) and not value.strip():
-            return None
-        try:
-            return float(value)
-        except (ValueError, TypeError):
-            return value
-    if key == "value_set" and value is not None and not isinstance(value, list):
-        return [part.strip() for part in str(value).split(",")]
-    return value
+def _as_float(value: object, otherwise: object) -> object:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return otherwise
+
+
+def _read_bound(given: object) -> object:
+    """A number; nothing for a blank text; what is no number stays, to be reported."""
+    bare = given.strip() if isinstance(given, str) else given
+    return None if bare is None or bare == "" else _as_float(bare, given)
+
+
+def _read_members(given: object) -> object:
+    """A list; a text is one with commas between, its members trimmed."""
+    return given if given is None or isinstance(given, list) else re.split(r"\s*,\s*", str(given).strip())
+
+
+#: How the parameters that need reading are read.
+_READERS: dict[str, Callable[[object], object]] = {
+    "min_value": _read_bound,
+    "max_value": _read_bound,
+    "value_set": _read_members,
+}
+
+
+def read_parameter(key: str, given: object) -> object:
+    """The value of a parameter that may come from a form."""
+    return _READERS[key](given) if key in _READERS else given
 
 
 @dataclass(frozen=True)
@@ -102,7 +120,7 @@ class Rule:
         """A rule from form parameters; unknown rule types are rejected."""
         if expectation_type not in RULE_TYPES:
             raise ValueError(f"unknown rule type: {expectation_type!r}")
-        return cls(expectation_type, {k: parse_param(k, v) for k, v in kwargs.items()})
+        return cls(expectation_type, {k: read_parameter(k, v) for k, v in kwargs.items()})
 
 
 class RuleError(ValueError):
@@ -276,7 +294,7 @@ def _number(value: float) -> str:
 
 
 def _bound(kwargs: Mapping[str, object], key: str) -> float | None:
-    value = parse_param(key, kwargs.get(key))
+    value = read_parameter(key, kwargs.get(key))
     if value is None:
         return None
     if not isinstance(value, float):
@@ -299,36 +317,30 @@ def _mostly(kwargs: Mapping[str, object]) -> float | None:
     value = kwargs.get("mostly")
     if value is None or (isinstance(value, str) and not value.strip()):
         return None
-    try:
-        share = float(value)
-    except (TypeError, ValueError):
-        share = math.nan
+    share = _as_float(value, math.nan)
     if not 0.0 <= share <= 1.0:
         raise RuleError(f"mostly is not a share between 0 and 1: {value!r}")
     return share
 
 
-_valid_patterns: set[str] = set()
-
-
 def _pattern(kwargs: Mapping[str, object], spark: SparkSession) -> str:
     pattern = kwargs.get("regex")
     if not isinstance(pattern, str):
         raise RuleError("missing parameter: regex")
-    if pattern not in _valid_patterns:
-        try:
-            # Folded to a constant by the optimizer: no job is started.
-            spark.sql("SELECT '' RLIKE :p AS m", args={"p": pattern}).collect()
-        except Exception as problem:
-            raise RuleError(f"invalid regular expression: {pattern}") from problem
-        _valid_patterns.add(pattern)
+    try:
+        # Folded to a constant by the optimizer: no job is started.
+        spark.sql("SELECT '' RLIKE :p AS m", args={"p": pattern}).collect()
+    except PySparkException as problem:
+        if "INVALID_PARAMETER_VALUE" not in (problem.getCondition() or "") and "PatternSyntax" not in str(problem):
+            raise
+        raise RuleError(f"invalid regular expression: {pattern}") from problem
     return pattern
 
 
 def _members(kwargs: Mapping[str, object], dtype: T.DataType) -> list[str]:
     if kwargs.get("value_set") is None:
         raise RuleError("missing parameter: value_set")
-    values = parse_param("value_set", kwargs["value_set"])
+    values = read_parameter("value_set", kwargs["value_set"])
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType, T.CalendarIntervalType)):
         raise RuleError(f"a value set is not defined for type {dtype.simpleString()}")
     members = []

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import number_or_null, strip
-from plumbline.operators.rules import RULE_TYPES, Rule, parse_param
+from plumbline.operators.rules import RULE_TYPES, Rule, read_parameter
+from plumbline.operators.stores import keyed_entries
 
 EXPECTATIONS = "array<struct<expectation_type:string,kwargs:map<string,string>>>"
 SUITE = f"name STRING, created_at STRING, expectations {EXPECTATIONS}"
-_SUITE_JSON = f"map<string,struct<expectations:{EXPECTATIONS},created_at:string>>"
+_SUITE_JSON = f"struct<expectations:{EXPECTATIONS},created_at:string>"
 
 
 def read_suites(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
@@ -32,7 +33,7 @@ def read_suites(spark: SparkSession, path: str, one_per_line: bool = False) -> D
 
 def suites_from_json(df: DataFrame, column: str) -> DataFrame:
     """Suite rows from JSON objects keyed by suite name."""
-    parsed = df.select(F.explode(F.from_json(F.col(column), _SUITE_JSON)).alias("name", "suite"))
+    parsed = keyed_entries(df, column, _SUITE_JSON).toDF("name", "suite")
     return parsed.select(
         "name",
         "suite.created_at",
@@ -106,7 +107,7 @@ def create_suites(suites: DataFrame, requests: DataFrame) -> DataFrame:
     """
     named = requests.select(strip(F.col("name")).alias("name"), "created_at").filter("name <> ''")
     wanted = named.groupBy("name").agg(F.min("created_at").alias("created_at"))
-    fresh = wanted.join(suites.select("name"), "name", "left_anti")
+    fresh = wanted.join(suites.select("name").distinct(), "name", "left_anti")
     return suites.unionByName(
         fresh.withColumn("expectations", F.array().cast(EXPECTATIONS))
     )
@@ -114,12 +115,16 @@ def create_suites(suites: DataFrame, requests: DataFrame) -> DataFrame:
 
 def add_rules(suites: DataFrame, additions: DataFrame) -> DataFrame:
     """Append rules given as ``(suite, seq, expectation_type, kwargs)``, in the
-    order of ``seq``. Unknown rule types and unknown suites are left out."""
+    order of ``seq``, those with the same ``seq`` by type and parameters. Unknown rule types
+    and unknown suites are left out."""
     known = additions.filter(F.col("expectation_type").isin(*RULE_TYPES))
-    rule = F.struct("seq", F.struct("expectation_type", "kwargs").alias("rule"))
+    entries = F.array_sort(F.map_entries("kwargs"))
+    rule = F.struct("seq", "expectation_type", entries.alias("entries"))
     per_suite = known.groupBy(F.col("suite").alias("name")).agg(F.collect_list(rule).alias("added"))
-    in_order = F.array_sort("added", lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0))
-    appended = F.transform(in_order, lambda x: x["rule"]).cast(EXPECTATIONS)
+    appended = F.transform(
+        F.array_sort("added"),
+        lambda x: F.struct(x["expectation_type"].alias("expectation_type"), F.map_from_entries(x["entries"]).alias("kwargs")),
+    ).cast(EXPECTATIONS)
     return suites.join(per_suite, "name", "left").select(
         "name",
         "created_at",
@@ -130,7 +135,9 @@ def add_rules(suites: DataFrame, additions: DataFrame) -> DataFrame:
 def remove_rules(suites: DataFrame, removals: DataFrame) -> DataFrame:
     """Remove the rules at the given ``(suite, pos)``; positions are those before
     any removal, and positions outside the suite are ignored."""
-    per_suite = removals.groupBy(F.col("suite").alias("name")).agg(F.collect_set("pos").alias("gone"))
+    sizes = suites.agg(F.max(F.size("expectations")).alias("longest"))
+    possible = removals.filter((F.col("pos") >= 0) & (F.col("pos") < sizes.scalar())).select("suite", "pos").distinct()
+    per_suite = possible.groupBy(F.col("suite").alias("name")).agg(F.collect_set("pos").alias("gone"))
     kept = F.filter("expectations", lambda rule, pos: ~F.array_contains("gone", pos))
     return suites.join(per_suite, "name", "left").select(
         "name",
@@ -141,7 +148,7 @@ def remove_rules(suites: DataFrame, removals: DataFrame) -> DataFrame:
 
 def delete_suites(suites: DataFrame, names: DataFrame) -> DataFrame:
     """Remove suites by ``name``."""
-    return suites.join(names.select("name"), "name", "left_anti")
+    return suites.join(names.select("name").distinct(), "name", "left_anti")
 
 
 def load_rules(suites: DataFrame, name: str) -> list[Rule]:
@@ -177,4 +184,4 @@ def _value(key: str, text: str | None) -> object:
             return json.loads(text)
         except ValueError:
             pass
-    return parse_param(key, text)
+    return read_parameter(key, text)

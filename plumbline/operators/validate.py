@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,19 +126,34 @@ def _isolate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int, meas
     try:
         # At most one row per rule.
         return [tuple(r) for r in _evaluate(df, checks, columns_per_scan, measures_per_scan).collect()]
-    except Exception as problem:
+    except PySparkException as problem:
+        condition = _of_a_row(problem)
+        if condition is None:
+            raise
         if len(checks) == 1:
-            return [checks[0].failed(_first_line(problem))]
-    half = len(checks) // 2
-    return _isolate(df, checks[:half], columns_per_scan, measures_per_scan) + _isolate(
-        df, checks[half:], columns_per_scan, measures_per_scan
-    )
-
-
-def _first_line(problem: Exception) -> str:
-    condition = getattr(problem, "getCondition", lambda: None)()
-    text = str(problem).strip().splitlines()
-    return condition or (text[0] if text else type(problem).__name__)
+            return [checks[0].failed(condition)]
+    # What is wrong with data belongs to a column: first the columns apart, then the rules of one.
+    columns = sorted({-1 if c.position is None else c.position for c in checks})
+    if len(columns) > 1:
+        upper = set(columns[len(columns) // 2 :])
+        halves = [[c for c in checks if ((-1 if c.position is None else c.position) in upper) == side] for side in (False, True)]
+    else:
+        halves = [checks[: len(checks) // 2], checks[len(checks) // 2 :]]
+    return [row for half in halves for row in _isolate(df, half, columns_per_scan, measures_per_scan)]
+
+
+def _of_a_row(problem: PySparkException) -> str | None:
+    """The condition of an error that comes from evaluating a row: a data exception (SQLSTATE class 22)
+    or one that a query raises itself (P0001 and the like). Anything else, such as an unreadable
+    file or a lost cluster, says nothing about the data, and there is no condition."""
+    try:
+        state, condition = problem.getSqlState(), problem.getCondition()
+    except Exception:  # a Python-side error without a JVM counterpart
+        return None
+    if state and condition and state[:2] in ("22", "P0"):
+        return condition
+    found = re.search(r"\[([A-Z][A-Z0-9_.]+)\][^\n]*SQLSTATE: (22|P0)", str(problem))
+    return found.group(1) if found else None
 
 
 def missing_column_warnings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -196,11 +213,14 @@ def run_report(
     source_label: str,
     run_id: str,
     run_time: Column | None = None,
+    isolated: bool = False,
 ) -> DataFrame:
     """The run as one nested row: what was checked, the warnings, the totals and
-    the results in rule order (as many as the suite has rules)."""
+    the results in rule order (as many as the suite has rules). With ``isolated``, a rule
+    that breaks on the data is a failed result and the report still comes."""
     fields = ", ".join(f"`{f.name}`" for f in CHECK_RESULT.fields)
-    folded = validate(df, rules).selectExpr(
+    results = validate_isolated(df, rules) if isolated else validate(df, rules)
+    folded = results.selectExpr(
         "count(1) AS total",
         "count_if(success) AS passed",
         f"sort_array(collect_list(struct({fields}))) AS results",

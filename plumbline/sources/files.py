@@ -49,32 +49,34 @@ def read_path(
 def file_inventory(
     spark: SparkSession, root: str, active: str | None = None, recursive: bool = False
 ) -> DataFrame:
-    """Files with a supported extension below ``root``, by name.
+    """Files and folder datasets with a supported extension in ``root``, by name.
 
-    ``name`` is relative to ``root``, ``active`` marks the file with that path.
-    Only the listing is used: file contents are not read. An object-store listing
-    covers all keys of the bucket (``recursive=True``).
+    ``name`` is relative to ``root``, ``active`` marks the dataset with that path. A folder
+    dataset (``orders.parquet/part-0.parquet``) is one entry of the size of all its files. With
+    ``recursive=True``, as for an object store, every file below ``root`` is an entry instead.
+    Only the listing is used: file contents are not read, and ``k=v`` folders mean nothing. Spark
+    lists no names that begin with ``_`` or ``.``.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .select("path", "length")
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     plain = F.regexp_replace("path", "^file:/+", "/")
     base = _plain(root).rstrip("/") + "/"
     # An absolute local root and a URI root both end up as a prefix of the path.
     name = F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1))).otherwise(
         F.element_at(F.split("path", "/"), -1)
     )
-    ext = F.lower(F.regexp_extract(name, r"[^/](\.[^./]*)$", 1))
+    entry = name if recursive else F.substring_index(name, "/", 1)
+    under = F.substr(plain, F.lit(1), F.length(plain) - F.length(name))
+    entries = listed.select(entry.alias("name"), F.concat(under, entry).alias("path"), "length")
+    ext = F.lower(F.regexp_extract("name", r"[^/](\.[^./]*)$", 1))
     return (
-        listed.select(
-            name.alias("name"),
-            plain.alias("path"),
+        entries.groupBy("name", "path")
+        .agg(F.sum("length").alias("length"))
+        .select(
+            "name",
+            "path",
             F.substr(ext, F.lit(2)).alias("ext"),
             F.bround(F.col("length") / F.lit(1024.0), 1).alias("size_kb"),
-            (plain == F.lit(_plain(active) if active else None)).alias("active"),
+            (F.col("path") == F.lit(_plain(active) if active else None)).alias("active"),
         )
         .filter(F.col("ext").isin([e[1:] for e in EXTENSIONS]))
         .fillna(False, subset=["active"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import WHITE_SPACE, number_or_null, strip
 from plumbline.operators import catalog, history, suites, validate
-from plumbline.operators.rules import Rule, parse_param
+from plumbline.operators.rules import Rule, read_parameter
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 BETWEEN = "expect_column_values_to_be_between"
@@ -85,12 +85,12 @@ def test_editing(spark, stored):
     assert suites.delete_suites(added, gone).count() == 3
 
 
-def test_numbers_are_read_as_parse_param_does(spark):
+def test_numbers_are_read_as_parameters_are(spark):
     texts = ["1", " 2.5\t", "-3e2", "1_000", "1__0", "abc", "1d", "1f", "0x1", "", "inf", "-Infinity", "nan", "+.5", "5.", ".", "1e", "١"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
     got = {r["t"]: r["n"] for r in df.select("t", number_or_null(F.col("t")).alias("n")).collect()}
     for text in texts[:-1]:
-        wanted = parse_param("min_value", text)
+        wanted = read_parameter("min_value", text)
         wanted = wanted if isinstance(wanted, float) else None
         assert repr(got[text]) == repr(wanted), text
 
@@ -126,13 +126,13 @@ def entries(spark, tmp_path):
     store = {
         "staff": {
             "name": "staff", "alias": "Équipe", "description": "100% real", "owner": "Data", "tags": ["HR", "core"],
-            "source_type": "local", "source_ref": "staff.csv", "created_at": "2026-04-08T16:25:52.575974",
-            "updated_at": "2026-04-08T16:57:52",
+            "source_type": "local", "source_ref": "staff.csv", "created_at": "2025-01-31T09:10:11.250000",
+            "updated_at": "2025-02-01T12:00:30",
         },
         "sales": {
             "name": "sales", "alias": "", "description": None, "tags": [],
             "fields": [{"name": "id", "type": "int", "nullable": False}, {"name": "amount"}],
-            "created_at": "2026-04-08T17:00:00",
+            "created_at": "2025-02-03T08:15:00",
         },
     }
     path = tmp_path / "catalog.json"
@@ -146,7 +146,7 @@ def names(df):
 
 def test_catalog_reading(entries):
     rows = {r["name"]: r for r in entries.collect()}
-    assert rows["staff"]["fields"] is None and rows["staff"]["created_at"].microsecond == 575974
+    assert rows["staff"]["fields"] is None and rows["staff"]["created_at"].microsecond == 250000
     assert rows["sales"]["owner"] is None
     fields = catalog.described_fields(entries).collect()
     assert [(f["field"], f["type"], f["nullable"]) for f in fields] == [("id", "int", False), ("amount", "", True)]

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from plumbline.registry import ORACLE_SQL, QUERIES
 from tests.parity import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -29,7 +30,8 @@ def test_runs(spark, name):
 
 
 def test_registries_agree():
-    assert set(entry_points.queries()) - ROWS_ONLY == set(entry_points.oracle_sql())
+    assert set(QUERIES) - ROWS_ONLY == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE_SQL) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from plumbline.operators.rules import RULE_DESCRIPTIONS, RULE_TYPES, Rule, parse_param
+from plumbline.operators.rules import RULE_DESCRIPTIONS, RULE_TYPES, Rule, read_parameter
 from plumbline.operators.validate import validate
 
 NAN = float("nan")
@@ -202,11 +202,11 @@ def test_unknown_rule_types(numbers):
     assert len(RULE_TYPES) == 8 and list(RULE_TYPES) == list(RULE_DESCRIPTIONS)
 
 
-def test_parse_param():
-    assert parse_param("min_value", " 1e3 ") == 1000.0
-    assert parse_param("min_value", "abc") == "abc"
-    assert parse_param("max_value", "  ") is None
-    assert parse_param("max_value", None) is None
-    assert parse_param("value_set", " a ,b,, c") == ["a", "b", "", "c"]
-    assert parse_param("value_set", ["a ", 1]) == ["a ", 1]
-    assert parse_param("regex", " x ") == " x "
+def test_read_parameter():
+    assert read_parameter("min_value", " 1e3 ") == 1000.0
+    assert read_parameter("min_value", "abc") == "abc"
+    assert read_parameter("max_value", "  ") is None
+    assert read_parameter("max_value", None) is None
+    assert read_parameter("value_set", " a ,b,, c") == ["a", "b", "", "c"]
+    assert read_parameter("value_set", ["a ", 1]) == ["a ", 1]
+    assert read_parameter("regex", " x ") == " x "

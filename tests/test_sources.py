@@ -137,7 +137,11 @@ def test_jdbc_partitioned_read():
 def test_sql(spark):
     table = spark.range(3)
     assert read_sql(spark, "SELECT id FROM nums WHERE id > 0", {"nums": table}).count() == 2
-    assert read_sql(spark, "nums").count() == 3
+    assert not spark.catalog.tableExists("nums")
+    spark.range(5).createOrReplaceTempView("nums")
+    assert read_sql(spark, "nums", {"nums": table}).count() == 3
+    assert read_sql(spark, "nums").count() == 5
+    spark.catalog.dropTempView("nums")
     assert read_sql(spark, "with x as (select 1 as a) select * from x").count() == 1
     with pytest.raises(ValueError):
         read_sql(spark, " ")
