@@ -25,7 +25,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: A vocabulary file above this size is refused, as every executor gets a copy.
 LARGEST_VOCABULARY = 64 << 20
 #: Texts longer than this are cut into pieces a stretch at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
 
@@ -41,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Encoder and decoder of one vocabulary (the JSON text of its file)."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 200_000
 
     def __init__(self, text: str):
         data = json.loads(text)

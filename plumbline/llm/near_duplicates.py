@@ -70,8 +70,8 @@ def _labels(classes: DataFrame, level: int, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                rows = batch.slice(part, 1000)
+            for part in range(0, batch.num_rows, 100):
+                rows = batch.slice(part, 100)
                 signatures = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE)
                 minima = signatures[:, orders].astype(np.uint64)
                 region = np.broadcast_to(seeds, minima.shape[:2]).copy()

@@ -19,7 +19,7 @@ _SHIFT = np.uint64(32)
 class WordHashes(dict):
     """64-bit hash of each word, remembered; forgets all when it has grown too long."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
