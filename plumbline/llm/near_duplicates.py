@@ -6,8 +6,8 @@ signature's minima, as sorted labels. Classes whose labels share a prefix are
 neighbours. Where a prefix is shared by few, all of its pairs are candidates. A
 crowded region descends: its classes move to longer prefixes, of as many more trees
 as keep the recall at the threshold. In regions that stay crowded at the last depth
-(near copies of one text by the hundred), each class is compared with its neighbours
-in the sorted order and with the first class of the region.
+(near copies of one text by the hundred), each class is compared with its neighbour
+in every sorted order and with the first class of the region.
 
 Candidates whose signatures agree too little to be possible are dropped; the others
 are confirmed on the full sets. Components need no link twice: a first round confirms
@@ -130,7 +130,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         else:
             found.append(there.select(F.col("first").alias("a"), F.col("id").alias("b")))
             ordered = there.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
-            found.append(_pairs_in_runs(ordered, 3))
+            found.append(_pairs_in_runs(ordered, 1))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
