@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ CONTROL = (MARK, "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]
 LEARNED = "assistant"
 #: A conversation longer than this continues in another part, cut between turns.
 PART = 1 << 20
+#: Characters of rendered text that a task gathers before it hands them on.
+TOGETHER = 1 << 18
 _FIND = re.compile("|".join(map(re.escape, CONTROL)))
 _UNDO = re.compile(r"\\(\\?)")
 
@@ -74,13 +77,13 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
 
 def covered(text: str, starts: np.ndarray, ends: np.ndarray, masked: np.ndarray) -> list[str]:
     """The stretches of text under the masked tokens. Tokens that share a character count it once."""
-    stretches: list[list[int]] = []
-    for start, end in zip(starts[masked].tolist(), ends[masked].tolist()):
-        if stretches and start <= stretches[-1][1]:
-            stretches[-1][1] = max(stretches[-1][1], end)
-        else:
-            stretches.append([start, end])
-    return [text[a:b] for a, b in stretches]
+    starts, ends = starts[masked], ends[masked]
+    if not len(starts):
+        return []
+    reached = np.maximum.accumulate(ends)
+    breaks = np.flatnonzero(starts[1:] > reached[:-1]) + 1
+    firsts, lasts = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(starts)]]) - 1
+    return [text[a:b] for a, b in zip(starts[firsts].tolist(), reached[lasts].tolist())]
 
 
 _tokenizers: dict[str, object] = {}
@@ -115,6 +118,18 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, lis
         yield conversation, part, turns
 
 
+def _lists(rows: Sequence[np.ndarray]) -> pa.Array:
+    """An Arrow list for each array."""
+    offsets = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+
+
+def _rows_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of an Arrow column as arrays, without a Python object for each element."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+
+
 def format_conversations(turns: DataFrame, path: str) -> DataFrame:
     """``(conv_id, part, text, tokens, starts, ends, mask)``: each conversation rendered and encoded by the
     tokenizers file at ``path``; ``mask`` says for each token whether its text is learned.
@@ -131,19 +146,31 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shared.value)
+        rows: list[tuple] = []
+        held = 0
         for key, part, group in _parts(batches):
             text, spans = render(group)
             encoded = tokenizer.encode(text, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-            masked = mask(offsets[:, 0], offsets[:, 1], spans)
-            row = [[key], [part], [text], [encoded.ids], [offsets[:, 0].tolist()], [offsets[:, 1].tolist()], [masked.tolist()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
+            offsets = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(encoded)).reshape(-1, 2)
+            starts, ends = offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32)
+            rows.append((key, part, text, np.array(encoded.ids, np.int32), starts, ends, mask(starts, ends, spans)))
+            held += len(text)
+            if held >= TOGETHER:
+                yield pack(rows)
+                rows, held = [], 0
+        if rows:
+            yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        plain = [pa.array(values, kind) for values, kind in zip(columns[:3], types)]
+        return pa.RecordBatch.from_arrays([*plain, *map(_lists, columns[3:])], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    types, names = arrow.types, arrow.names
+    types = arrow.types
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id")
     rows = rows.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return rows.mapInArrow(run, schema)
@@ -159,7 +186,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         rows: list[list] = []
         open_row = None
         for batch in batches:
-            for key, text, starts, ends, masked in zip(*(column.to_pylist() for column in batch.columns)):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, text, starts, ends, masked in zip(keys, texts, *map(_rows_of, batch.columns[2:])):
                 if open_row is None or key != open_row[0]:
                     if open_row is not None:
                         rows.append(finish(open_row))
@@ -167,7 +195,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 for role, said in parse(text):
                     open_row[1] += 1
                     open_row[2].update(f"{role}\n{said}\n".encode())
-                under = covered(text, np.array(starts, np.int64), np.array(ends, np.int64), np.array(masked, bool))
+                under = covered(text, starts, ends, masked)
                 for stretch in map(unescape, under):
                     open_row[3] += len(stretch)
                     open_row[4].update(stretch.encode())
