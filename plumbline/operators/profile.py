@@ -41,7 +41,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def distinct_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    columns_per_scan: int = DEFAULT_COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
 ) -> DataFrame:
     """Exact number of distinct values per column, NULL being one of them; NULL
     for columns whose values cannot be grouped."""
@@ -51,16 +51,16 @@ def distinct_counts(
 def profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    columns_per_scan: int = DEFAULT_COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
     exact: bool = True,
 ) -> DataFrame:
     """One row per column: type, NULLs, distinct values, rows, and for numeric
     columns minimum, maximum and mean.
 
     Exact profiles derive everything from the counts per distinct value, so the
-    dataset is read once, ``columns_per_scan`` columns at a time. Let several
-    columns share a scan when reading is expensive whatever is selected (CSV,
-    JSON, a query).
+    dataset is read once, ``columns_per_scan`` columns at a time. Let all columns
+    share a scan (None) when reading is expensive whatever is selected (CSV,
+    JSON, a query). Distinct texts of over 63 bytes are told apart by SHA-256.
 
     ``exact=False`` estimates the distinct counts (to a few percent) and shuffles
     one small row per task instead of the distinct values.
@@ -130,7 +130,7 @@ def _named(df: DataFrame, stats: DataFrame, *values: str, types: bool = False) -
     return stats.selectExpr("pos", *labels, *values)
 
 
-def _from_counts(df: DataFrame, positions: Sequence[int], columns_per_scan: int) -> DataFrame:
+def _from_counts(df: DataFrame, positions: Sequence[int], columns_per_scan: int | None) -> DataFrame:
     # Columns of an empty table have no counted value; an n of 0 keeps them.
     nothing = [
         struct_sql(

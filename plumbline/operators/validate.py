@@ -29,7 +29,7 @@ WARNINGS = "pos INT, column STRING, suggestion STRING, message STRING"
 def validate(
     df: DataFrame,
     rules: Sequence[Rule],
-    columns_per_scan: int = DEFAULT_COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
     measures_per_scan: int = MEASURES_PER_SCAN,
 ) -> DataFrame:
     """One row per rule, in order (schema ``CHECK_RESULT``).
@@ -51,7 +51,7 @@ def validate_source(spark: SparkSession, source: SourceSpec, rules: Sequence[Rul
 def validate_isolated(
     df: DataFrame,
     rules: Sequence[Rule],
-    columns_per_scan: int = DEFAULT_COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
     measures_per_scan: int = MEASURES_PER_SCAN,
 ) -> DataFrame:
     """As :func:`validate`, but a rule whose evaluation breaks (say, on a column
@@ -82,7 +82,7 @@ def _bound(df: DataFrame, rules: Sequence[Rule]) -> list[Check]:
     return bind_all(rules, df.schema, df.sparkSession)
 
 
-def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int, measures_per_scan: int) -> DataFrame:
+def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | None, measures_per_scan: int) -> DataFrame:
     flat = positional(df)
     parts: list[tuple[DataFrame, list[str]]] = []
     scalar = [c for c in checks if not c.by_value and not _is_settled(c)]
@@ -122,7 +122,7 @@ def _chunks(checks: Sequence[Check], limit: int) -> list[list[Check]]:
     return chunks
 
 
-def _isolate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int, measures_per_scan: int) -> list[tuple]:
+def _isolate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | None, measures_per_scan: int) -> list[tuple]:
     try:
         # At most one row per rule.
         return [tuple(r) for r in _evaluate(df, checks, columns_per_scan, measures_per_scan).collect()]

@@ -3,13 +3,15 @@
 Distinct counts, duplicate counts and the numeric statistics of a column all
 follow from "each distinct value and how often it occurs". That table is built
 by grouping on one column or, so that several columns share a scan and a
-shuffle, with GROUPING SETS of one set per column. Spark's partial aggregation runs before the shuffle: a value that makes
-up a third of the table leaves each task as one row, however often it occurs.
+shuffle, with GROUPING SETS of one set per column. Where all columns share one
+scan, rows become pairs of column and value. Spark's partial aggregation runs
+before the shuffle: a value that makes up a third of the table leaves each task
+as one row, however often it occurs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,14 +27,15 @@ from plumbline.functions.columns import positional
 # four.
 DEFAULT_COLUMNS_PER_SCAN = 1
 
-# For inputs that are read whole whatever is selected (CSV, JSON, a join) the
-# re-reading weighs more.
-WHOLE_ROW_COLUMNS_PER_SCAN = 4
+# More scans than this cost more in planning than they save in reading: a profile
+# of a wide table then takes all columns in one scan.
+MOST_SCANS = 24
 
 
-def scan_width(whole_rows: bool) -> int:
-    """Columns per scan that suit how an input is read."""
-    return WHOLE_ROW_COLUMNS_PER_SCAN if whole_rows else DEFAULT_COLUMNS_PER_SCAN
+def scan_width(whole_rows: bool) -> int | None:
+    """Columns per scan that suit how an input is read; None is all of them. What
+    is read whole whatever is selected (CSV, JSON, a join) is read once."""
+    return None if whole_rows else DEFAULT_COLUMNS_PER_SCAN
 
 
 # Grouping keys longer than this travel as their SHA-256 digest. A digest is 64
@@ -55,23 +58,60 @@ def _key(column: str, dtype: T.DataType) -> str:
 def value_counts(
     df: DataFrame,
     positions: Sequence[int],
-    columns_per_scan: int = DEFAULT_COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
 ) -> DataFrame:
     """One row per column and distinct value: ``(pos, is_null, value, n)``.
 
     ``value`` is the value as DOUBLE for numeric columns and NULL otherwise; NULL
     counts as a value of its own. An empty table has no rows here either.
+
+    Without ``columns_per_scan``, or where it would take more than ``MOST_SCANS``
+    scans, one scan serves all columns but those whose values have no text of
+    their own (vectors and the like), which are grouped one by one.
     """
     if not positions:
         raise ValueError("no columns to count")
-    if columns_per_scan < 1:
+    if columns_per_scan is not None and columns_per_scan < 1:
         raise ValueError("columns_per_scan must be at least 1")
     fields = df.schema.fields
     flat = positional(df)
-    chunks = [
-        positions[i : i + columns_per_scan] for i in range(0, len(positions), columns_per_scan)
+    parts = []
+    width = columns_per_scan
+    if width is None or len(positions) > MOST_SCANS * width:
+        paired = {p: key for p in positions if (key := _text_key(f"c{p}", fields[p].dataType))}
+        if paired:
+            parts.append(_pair_counts(flat, fields, paired))
+        positions, width = [p for p in positions if p not in paired], 1
+    chunks = [positions[i : i + width] for i in range(0, len(positions), width)]
+    parts += [_chunk_counts(flat, fields, c) for c in chunks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _text_key(column: str, dtype: T.DataType) -> str | None:
+    """A text that differs exactly where values of the type differ; NULL for NULL.
+    None for types without one."""
+    if dtype == T.StringType():
+        return _key(column, dtype)
+    if isinstance(dtype, T.BinaryType):
+        return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY // 2} THEN hex({column}) ELSE sha2({column}, 256) END"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # -0.0 and 0.0 are one value.
+        return f"CAST({column} + CAST(0 AS {dtype.simpleString()}) AS STRING)"
+    if isinstance(dtype, T.TimestampType):
+        # A local time may occur twice.
+        return f"CAST(unix_micros({column}) AS STRING)"
+    if isinstance(dtype, (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType)):
+        return f"CAST({column} AS STRING)"
+    return None
+
+
+def _pair_counts(flat: DataFrame, fields: Sequence[T.StructField], keys: Mapping[int, str]) -> DataFrame:
+    pairs = [
+        f"struct({p} AS pos, {key} AS key, {_as_double(f'c{p}', fields[p].dataType)} AS value)"
+        for p, key in keys.items()
     ]
-    return reduce(DataFrame.unionByName, [_chunk_counts(flat, fields, c) for c in chunks])
+    grouped = flat.selectExpr(f"inline(array({', '.join(pairs)}))").groupBy("pos", "key", "value")
+    return grouped.agg(F.expr("count(1) AS n")).selectExpr("pos", "key IS NULL AS is_null", "value", "n")
 
 
 def _chunk_counts(flat: DataFrame, fields: Sequence[T.StructField], chunk: Sequence[int]) -> DataFrame:

@@ -83,9 +83,21 @@ _DOCUMENT_COLUMNS = [
 ]
 
 ORACLE_SQL["sql_source_profile"] = _profile(
-    """SELECT o_orderkey, c_name, c_mktsegment, o_totalprice
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+              c_name, c_nationkey, c_acctbal, c_mktsegment
        FROM orders JOIN customer ON o_custkey = c_custkey""",
-    [("o_orderkey", "bigint"), ("c_name", "string"), ("c_mktsegment", "string"), ("o_totalprice", "double")],
+    [
+        ("o_orderkey", "bigint"),
+        ("o_custkey", "bigint"),
+        ("o_orderstatus", "string"),
+        ("o_totalprice", "double"),
+        ("o_orderdate", "timestamp_ntz"),
+        ("o_orderpriority", "string"),
+        ("c_name", "string"),
+        ("c_nationkey", "int"),
+        ("c_acctbal", "double"),
+        ("c_mktsegment", "string"),
+    ],
 )
 ORACLE_SQL["columns"] = """
     SELECT CAST(pos AS INTEGER) AS pos, name, type

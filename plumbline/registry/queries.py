@@ -78,12 +78,12 @@ def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
     text = """
-        SELECT o_orderkey, c_name, c_mktsegment, o_totalprice
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+               c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM orders JOIN customer ON o_custkey = c_custkey
     """
-    joined = resolve(spark, SourceSpec("sql", text, {"tables": tables}))
-    # All columns in one pass, so that the join runs once.
-    return profile.profile(joined, columns_per_scan=4).withColumn("mean", F.round("mean", 4))
+    profiled = profile.profile_source(spark, SourceSpec("sql", text, {"tables": tables}))
+    return profiled.withColumn("mean", F.round("mean", 4))
 
 
 # -- preview and profile ------------------------------------------------------

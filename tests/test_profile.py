@@ -24,7 +24,7 @@ def mixed(spark):
     )
 
 
-@pytest.mark.parametrize("width", [1, 3, 20])
+@pytest.mark.parametrize("width", [1, 3, 20, None])
 def test_every_type_profiles(mixed, width):
     found = profile.profile(mixed, columns_per_scan=width)
     assert [r["column"] for r in found.collect()] == mixed.columns
@@ -42,6 +42,34 @@ def test_every_type_profiles(mixed, width):
     assert p["d"]["type"] == "decimal(15,2)"
 
 
+def test_pairs_count_like_groups(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES
+           (0.0D, CAST(-0.0 AS FLOAT), X'', '', TIMESTAMP'2024-01-01', TIMESTAMP_NTZ'2024-01-01', 1.10BD),
+           (-0.0D, CAST(0.0 AS FLOAT), X'00', ' ', TIMESTAMP'2024-01-02', TIMESTAMP_NTZ'2024-01-01', 1.1BD),
+           (double('NaN'), float('NaN'), CAST(repeat('a', 200) AS BINARY), repeat('a', 200), NULL, NULL, NULL),
+           (double('NaN'), float('NaN'), CAST(repeat('a', 199) AS BINARY), repeat('a', 199), NULL, NULL, NULL),
+           (NULL, NULL, NULL, NULL, NULL, NULL, NULL) AS t(x, f, b, s, z, n, d)"""
+    )
+    split, paired = (profile.profile(df, columns_per_scan=w) for w in (1, None))
+    assert str(split.collect()) == str(paired.collect())
+    assert [r["unique"] for r in paired.collect()] == [3, 3, 5, 5, 3, 2, 2]
+
+
+def test_wide_tables_and_whole_rows_are_scanned_once(spark, tmp_path):
+    wide = spark.range(50).selectExpr(*[f"id % {n + 1} AS v{n}" for n in range(150)])
+    wide.write.parquet(str(tmp_path / "wide.parquet"))
+    spark.range(9).selectExpr(*[f"id AS v{n}" for n in range(11)]).write.csv(str(tmp_path / "rows.csv"), header=True)
+    for name, n in (("wide.parquet", 150), ("rows.csv", 11)):
+        found = profile.profile_source(spark, SourceSpec("local", name, {"root": str(tmp_path)}))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1
+        assert found.count() == n
+    joined = profile.profile_source(spark, SourceSpec("sql", "SELECT * FROM a JOIN b USING (v0)", {"tables": {"a": wide, "b": wide}}))
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [r["unique"] for r in profile.distinct_counts(wide).collect()] == [min(50, n + 1) for n in range(150)]
+
+
 def test_columns_can_be_chosen(mixed):
     assert list(rows(profile.profile(mixed, columns=["X", "t"]))) == ["t", "x"]
     with pytest.raises(ValueError):
