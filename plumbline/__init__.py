@@ -14,6 +14,7 @@ from plumbline.operators.profile import (
 from plumbline.operators.rules import RULE_DESCRIPTIONS, RULE_TYPES, Rule
 from plumbline.operators.validate import (
     missing_column_warnings,
+    report_source,
     run_report,
     run_status,
     run_summary,
@@ -41,6 +42,7 @@ __all__ = [
     "read_path",
     "resolve",
     "row_count",
+    "report_source",
     "run_report",
     "run_status",
     "run_summary",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import contains_ignore_case, strip, text_literal
-from plumbline.operators.stores import keyed_entries
+from plumbline.operators.stores import keyed_entries, started
 from plumbline.plans.fused import struct_sql
 
 FIELDS = "array<struct<name:string,type:string,description:string,nullable:boolean>>"
@@ -21,8 +21,9 @@ COLUMNS = ("name", *_TEXTS, "tags", *_SOURCE, "fields", "created_at", "updated_a
 
 def read_catalog(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Catalogs kept as JSON objects keyed by entry name: one object per file, or
-    one object per line."""
-    return catalog_from_json(spark.read.text(path, wholetext=not one_per_line), "value")
+    one object per line. No catalog yet: no entries."""
+    text = started(spark, lambda: spark.read.text(path, wholetext=not one_per_line), "value STRING")
+    return catalog_from_json(text, "value")
 
 
 def catalog_from_json(df: DataFrame, column: str) -> DataFrame:

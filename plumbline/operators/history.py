@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.rules import CHECK_RESULT
+from plumbline.operators.stores import started
 
 RUN_REPORT = T.StructType(
     [
@@ -49,8 +50,8 @@ def append_runs(reports: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The whole history. The schema is given, so no file is opened to infer it."""
-    return spark.read.schema(RUN_REPORT).parquet(path)
+    """The whole history; no runs before the first. The schema is given, so no file is opened to infer it."""
+    return started(spark, lambda: spark.read.schema(RUN_REPORT).parquet(path), RUN_REPORT)
 
 
 def clear_runs(spark: SparkSession, path: str) -> None:

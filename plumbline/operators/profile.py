@@ -14,7 +14,7 @@ from plumbline.functions.numbers import percent_half_up
 from plumbline.functions.text import text_literal
 from plumbline.plans.fused import Measures, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
-from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve
+from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve, settled
 
 # A column with a larger share of NULLs (in percent) is flagged.
 NULL_ALERT_ABOVE = 20
@@ -81,6 +81,7 @@ def profile(
 
 def profile_source(spark: SparkSession, source: SourceSpec, exact: bool = True) -> DataFrame:
     """Profile a source, with as many columns per scan as suits how it is read."""
+    source = settled(spark, source)
     width = scan_width(reads_whole_rows(source))
     return profile(resolve(spark, source), columns_per_scan=width, exact=exact)
 

@@ -1,9 +1,23 @@
-"""Reading stores kept as JSON objects keyed by name."""
+"""Reading stores, which may not have been written yet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def started(spark: SparkSession, read: Callable[[], DataFrame], schema: T.StructType | str) -> DataFrame:
+    """What ``read`` returns; an empty table of ``schema`` where the path does not exist. Other errors are raised."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def keyed_entries(df: DataFrame, column: str, entry: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import number_or_null, strip
 from plumbline.operators.rules import RULE_TYPES, Rule, read_parameter
-from plumbline.operators.stores import keyed_entries
+from plumbline.operators.stores import keyed_entries, started
 
 EXPECTATIONS = "array<struct<expectation_type:string,kwargs:map<string,string>>>"
 SUITE = f"name STRING, created_at STRING, expectations {EXPECTATIONS}"
@@ -26,8 +26,8 @@ _SUITE_JSON = f"struct<expectations:{EXPECTATIONS},created_at:string>"
 
 def read_suites(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Suites kept as JSON objects keyed by suite name: one object per file, or,
-    for stores that have outgrown a file, one object per line."""
-    text = spark.read.text(path, wholetext=not one_per_line)
+    for stores that have outgrown a file, one object per line. No store yet: no suites."""
+    text = started(spark, lambda: spark.read.text(path, wholetext=not one_per_line), "value STRING")
     return suites_from_json(text, "value")
 
 

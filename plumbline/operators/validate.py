@@ -16,7 +16,7 @@ from plumbline.functions.text import text_literal
 from plumbline.operators.rules import CHECK_RESULT, Check, Rule, bind_all
 from plumbline.plans.fused import Measures, in_order, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
-from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve
+from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve, settled, source_label
 
 # Aggregates computed by one pass. Beyond 100 columns Spark leaves whole-stage
 # code generation (twice as slow for 160 ranges); wider suites make several
@@ -41,11 +41,14 @@ def validate(
     return _evaluate(df, _bound(df, rules), columns_per_scan, measures_per_scan)
 
 
-def validate_source(spark: SparkSession, source: SourceSpec, rules: Sequence[Rule]) -> DataFrame:
+def validate_source(
+    spark: SparkSession, source: SourceSpec, rules: Sequence[Rule], isolated: bool = False
+) -> DataFrame:
     """Validate a source, with as many uniqueness rules per scan as suits how it
     is read."""
-    width = scan_width(reads_whole_rows(source))
-    return validate(resolve(spark, source), rules, columns_per_scan=width)
+    source = settled(spark, source)
+    run = validate_isolated if isolated else validate
+    return run(resolve(spark, source), rules, columns_per_scan=scan_width(reads_whole_rows(source)))
 
 
 def validate_isolated(
@@ -65,12 +68,15 @@ def validate_isolated(
     return df.sparkSession.createDataFrame(rows, CHECK_RESULT).coalesce(1).sortWithinPartitions("pos")
 
 
-def validate_many(datasets: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
+def validate_many(
+    datasets: Mapping[str, DataFrame], rules: Sequence[Rule], isolated: bool = False
+) -> DataFrame:
     """The same rules on several datasets; ``source_label`` tells them apart."""
+    run = validate_isolated if isolated else validate
     if not datasets:
         raise ValueError("no datasets given")
     parts = [
-        validate(df, rules).select(F.lit(label).alias("source_label"), "*")
+        run(df, rules).select(F.lit(label).alias("source_label"), "*")
         for label, df in datasets.items()
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -214,12 +220,13 @@ def run_report(
     run_id: str,
     run_time: Column | None = None,
     isolated: bool = False,
+    columns_per_scan: int | None = DEFAULT_COLUMNS_PER_SCAN,
 ) -> DataFrame:
     """The run as one nested row: what was checked, the warnings, the totals and
     the results in rule order (as many as the suite has rules). With ``isolated``, a rule
     that breaks on the data is a failed result and the report still comes."""
     fields = ", ".join(f"`{f.name}`" for f in CHECK_RESULT.fields)
-    results = validate_isolated(df, rules) if isolated else validate(df, rules)
+    results = (validate_isolated if isolated else validate)(df, rules, columns_per_scan)
     folded = results.selectExpr(
         "count(1) AS total",
         "count_if(success) AS passed",
@@ -246,3 +253,27 @@ def run_report(
         ).alias("summary"),
         "results",
     )
+
+
+def report_source(
+    spark: SparkSession,
+    source: SourceSpec,
+    suite_name: str,
+    rules: Sequence[Rule],
+    run_id: str,
+    run_time: Column | None = None,
+    isolated: bool = True,
+) -> DataFrame:
+    """The report of a suite on a source: type, label (of the file that is read) and scan width are the source's."""
+    source = settled(spark, source)
+    return run_report(
+        resolve(spark, source),
+        suite_name,
+        rules,
+        source.type,
+        source_label(source),
+        run_id,
+        run_time,
+        isolated,
+        scan_width(reads_whole_rows(source)),
+    )

@@ -48,6 +48,14 @@ def resolve(spark: SparkSession, source: SourceSpec) -> DataFrame:
     return read_sql(spark, source.ref, source.options.get("tables"))
 
 
+def settled(spark: SparkSession, source: SourceSpec) -> SourceSpec:
+    """``source`` with its file named: a local source without one stands for the first file of its root."""
+    if source.type != LOCAL or source.ref:
+        return source
+    schema = source.options.get("schema")
+    return SourceSpec(LOCAL, _local_path(spark, source), {} if schema is None else {"schema": schema})
+
+
 def reads_whole_rows(source: SourceSpec) -> bool:
     """Whether a scan of one column costs about as much as a scan of all."""
     if source.type in (LOCAL, OBJECT_STORE) and source.ref:

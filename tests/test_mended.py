@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, suites
+from plumbline.operators import catalog, history, suites
 from plumbline.operators.preview import preview
 from plumbline.operators.rules import Rule
-from plumbline.operators.validate import run_report, validate_isolated
+from plumbline.operators.validate import report_source, run_report, validate_isolated
+from plumbline.sources import SourceSpec
 from plumbline.sources.files import file_inventory
 
 
@@ -81,3 +82,29 @@ def test_report_survives_a_rule_that_breaks_on_the_data(spark):
     assert row.summary.total == 2 and row.results[1].success
     if spark.conf.get("spark.sql.ansi.enabled") == "true":
         assert row.results[0].error == "CAST_INVALID_INPUT" and not row.results[0].success
+
+
+def test_first_run_has_empty_stores(spark, tmp_path):
+    absent = str(tmp_path / "none")
+    for read in (suites.read_suites, catalog.read_catalog, history.read_runs):
+        assert read(spark, absent).collect() == []
+    damaged = tmp_path / "runs"
+    damaged.mkdir()
+    (damaged / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        history.read_runs(spark, str(damaged)).collect()
+
+
+def test_report_of_a_source(spark, tmp_path):
+    staff = "name,salary\nIda,100\n,300000\nOle,5\n"
+    (tmp_path / "staff.csv").write_text(staff)
+    rules = [
+        Rule("expect_column_values_to_not_be_null", {"column": "name"}),
+        Rule("expect_column_values_to_be_between", {"column": "salary", "min_value": 0, "max_value": 200000}),
+    ]
+    source = SourceSpec("local", None, {"root": str(tmp_path)})
+    for isolated in (True, False):
+        report = report_source(spark, source, "staff", rules, "r1", isolated=isolated).first()
+        assert (report["source_type"], report["source_label"]) == ("local", "staff.csv")
+        assert [r["unexpected_count"] for r in report["results"]] == [1, 1]
+        assert report["summary"]["failed"] == 2
