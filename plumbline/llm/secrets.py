@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Where a value is a credential, beyond the pattern of ``assign``.
 CONTEXT = re.compile(
     r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|auth|client)[_-]?(?:key|token|secret)|credentials?|bearer)"""
-    r"""["']?\x20*(?:[:=]|=>)\x20*(?:"([^"\n]{8,256})"|'([^'\n]{8,256})'|([^\s"'<>,;(){}\[\]]{8,}))""",
+    r"""["']?\x20*(?:[:=]|=>)\x20*(?:"([^"\n]{8,})"|'([^'\n]{8,})'|([^\s"'<>,;(){}\[\]]{8,}))""",
     re.ASCII,
 )
 #: Values from this many decimal digits of guesses on are secrets.
@@ -70,13 +70,16 @@ def _neighbours() -> dict[str, str]:
 _NEAR = _neighbours()
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """Decimal digits of the guesses for ``value``, and the segments ``(kind, start, end)`` of the cheapest way.
 
     Each segment costs the logarithm of its own guesses plus a little for its place in the row.
     Words: rank, doubled for capitals and for digits that stand for letters. Dates: days of about
     a century. Repeats: the unit's brute force times the count. Walks: a start key, then turns.
     Everything else: ten guesses a character. No segment but brute force is longer than ``SPAN``.
+
+    Once every way through the last ``SPAN`` places costs ``enough`` or more, so does the whole value: it is then
+    rated, and divided, up to there only.
     """
     n, joint = len(value), 0.3
     lower = value.lower()
@@ -90,7 +93,13 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if best[start] + cost < best[end]:
             best[end], back[end] = best[start] + cost, (kind, start)
 
+    low = 0
     for i in range(n):
+        if best[i] < enough:
+            low = i
+        elif i - low >= SPAN:
+            n = i
+            break
         offer("brute", i, i + 1, 1.0)
         for end in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
             rank = _RANK.get(plain[i:end])
@@ -139,7 +148,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     base = sorted((start, end) for _, start, end in spans)
     for m in CONTEXT.finditer(text):
         start, end = m.span(m.lastindex)
-        if not any(a <= start and end <= b for a, b in base) and guess_cost(m.group(m.lastindex))[0] >= HARD:
+        if not any(a <= start and end <= b for a, b in base) and guess_cost(m.group(m.lastindex), HARD)[0] >= HARD:
             spans.append(("guess", start, end))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -214,3 +214,15 @@ def test_registered_queries_over_small_tables(spark):
     row = registry.op3_guess_cost(spark, larger).filter("n_hex > 0").first()
     text = spark.read.parquet(f"{larger}/documents.parquet").filter(f"doc_id = {row.doc_id}").first().text
     assert row.n_hex == len([m for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 32])
+
+
+def test_long_quoted_credentials():
+    r = random.Random(4)
+    value = "".join(r.choice("abcdefghijkLMNOPQRS0123456789+/") for _ in range(2000))
+    for before, after in (('private_key = "', '"'), ('{"private_key": "', '"}'), ("passphrase: '", "'")):
+        text = f"x {before}{value}{after} y"
+        assert ("guess", 2 + len(before), 2 + len(before) + 2000) in secrets.spans_of(text)
+    for _ in range(300):
+        value = "".join(r.choice(("password", "aaaaaaaaaaaa", "2001", "qwerty", "abcdef", "x", "7#")) for _ in range(r.randint(1, 30)))
+        assert (secrets.guess_cost(value, secrets.HARD)[0] >= secrets.HARD) == (secrets.guess_cost(value)[0] >= secrets.HARD)
+    assert secrets.guess_cost("a" * 10**6, secrets.HARD)[0] >= secrets.HARD
