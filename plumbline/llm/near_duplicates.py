@@ -6,8 +6,9 @@ signature's minima, as sorted labels. Classes whose labels share a prefix are
 neighbours. Where a prefix is shared by few, all of its pairs are candidates. A
 crowded region descends: its classes move to longer prefixes, of as many more trees
 as keep the recall at the threshold. In regions that stay crowded at the last depth
-(near copies of one text by the hundred), each class is compared with its neighbour
-in every sorted order and with the first class of the region.
+(near copies of one text by the hundred), each class is first compared with its neighbour
+in every sorted order and with the first class of the region. Where that leaves such a region in several
+components, all pairs of its classes follow by their full sets (``crowds``).
 
 Candidates whose signatures agree too little to be possible are dropped; the others
 are confirmed on the full sets. Components need no link twice: a first round confirms
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.crowds import close_pairs
 from plumbline.llm.frames import keep_ids, map_rows, stored
 from plumbline.llm.words import MinHash, copies_needed, mixed, shingle_set, similar, split_words
 
@@ -111,9 +113,10 @@ def _pairs_in_runs(rows: DataFrame, reach: int) -> DataFrame:
     return rows.select("region", "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``, ``a < b``: pairs of classes that meet in the forest."""
-    found, at_level = [], classes
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b)``, ``a < b``: pairs of classes that meet in the forest; and ``(region, id)`` of the regions that are
+    crowded at the last depth, if any, of whose pairs only a part is among them."""
+    found, at_level, crowd = [], classes, None
     for level, depth in enumerate(DEPTHS):
         trees = copies_needed(percent / 100, depth, MISS)
         labels = stored(_labels(at_level, level, trees), "forest")
@@ -128,13 +131,15 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         if level + 1 < len(DEPTHS):
             at_level = keep_ids(classes, there.select("id"), "id")
         else:
+            there = stored(there, "crowd")
+            crowd = there.select("region", "id")
             found.append(there.select(F.col("first").alias("a"), F.col("id").alias("b")))
             ordered = there.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
             found.append(_pairs_in_runs(ordered, 1))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), crowd
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -180,26 +185,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return map_rows(pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b"), ["a", "b", "t_a", "t_b"], confirm, f"a {kind}, b {kind}")
 
 
+def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stored(keep_ids(rows, ids, "id").dropDuplicates(["id"]), "texts")
+
+
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Confirmed pairs ``(a, b)`` of classes that join all components."""
-    likely = stored(_likely(candidates(classes, percent), classes, percent), "likely")
+    pairs, crowd = candidates(classes, percent)
+    likely = stored(_likely(pairs, classes, percent), "likely")
     if likely.isEmpty():
-        return likely.select("a", "b")
-    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    texts = keep_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ends, "id").dropDuplicates(["id"])
-    texts = stored(texts, "texts")
-    both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
-    best = best.select("a", F.explode(F.array("x", "y")).alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sure = stored(_confirmed(best, texts, width, percent), "links")
-    groups = components(sure)
-    apart = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for end in "ab":
-        of = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-        apart = apart.join(of, end, "left")
-    apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return sure.unionByName(stored(_confirmed(apart, texts, width, percent), "links"))
+        found = likely.select("a", "b")
+    else:
+        ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+        texts = _texts(ends, docs, id_col, text_col)
+        both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+        best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
+        best = best.select("a", F.explode(F.array("x", "y")).alias("b"))
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sure = stored(_confirmed(best, texts, width, percent), "links")
+        groups = components(sure)
+        apart = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+        for end in "ab":
+            of = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+            apart = apart.join(of, end, "left")
+        apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        found = sure.unionByName(stored(_confirmed(apart, texts, width, percent), "links"))
+    return found if crowd is None else _crowd_links(crowd, found, docs, id_col, text_col, width, percent)
+
+
+def _crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """The pairs ``found``, and all that join further classes of the same crowd."""
+    groups = components(found)
+    parts = crowd.join(groups, crowd.id == groups.node, "left").select("region", "id", F.coalesce("component", "id").alias("part"))
+    apart = parts.groupBy("region").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("region")
+    members = stored(parts.join(apart, "region").select("id", "part").distinct(), "members")
+    if members.isEmpty():
+        return found
+    texts = _texts(members.select("id"), docs, id_col, text_col)
+    kinds = texts.schema["id"].dataType.simpleString(), members.schema["part"].dataType.simpleString()
+
+    def sets(ids, parts, texts):
+        return ids, parts, [shingle_set(split_words(text), width).tobytes() for text in texts]
+
+    there = map_rows(texts.join(members, "id"), ["id", "part", "text"], sets, f"id {kinds[0]}, part {kinds[1]}, hashes binary")
+    more = stored(close_pairs(stored(there, "sets"), percent), "close")
+    return found.unionByName(stored(_confirmed(more, texts, width, percent), "links"))
 
 
 def near_duplicates(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import components, decontaminate, near_duplicates, paragraphs, registry, substrings, words
+from plumbline.llm import components, crowds, decontaminate, near_duplicates, paragraphs, registry, substrings, words
 from tests.llm.test_text_operators import EDGES, docs
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,41 @@ def test_crowded_regions_descend(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in rows} == brute_components(texts)[0]
 
 
+def crowd_of(r, size, common, own, pairs, changed):
+    """Texts of pieces that many share and own ones, a few with a partner that differs in ``changed`` pieces more."""
+    piece = lambda: " ".join(f"v{r.randint(0, 10**9)}" for _ in range(5))
+    base = [piece() for _ in range(common)]
+    texts = {}
+    for i in range(size):
+        texts[i] = base + [piece() for _ in range(own)]
+    for i in range(pairs):
+        texts[size + i] = texts[3 * i][: common + own - changed] + [piece() for _ in range(changed)]
+    return {k: " ".join(v) for k, v in texts.items()}
+
+
+def test_crowd_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CROWD", 2)
+    monkeypatch.setattr(near_duplicates, "DEPTHS", (3,))
+    texts = crowd_of(random.Random(12), 300, 40, 9, 60, 6)
+    expected, sets = brute_components(texts)
+    pairs = [len(sets[3 * i] & sets[300 + i]) / len(sets[3 * i] | sets[300 + i]) for i in range(60)]
+    assert 0.75 <= min(pairs) and max(pairs) < 0.8 and len(set(expected.values())) == 300
+    rows = near_duplicates.near_duplicates(docs(spark, texts.items())).collect()
+    assert {x.doc_id: x.component_id for x in rows} == expected
+
+
+def test_close_pairs_equal_brute_force(spark):
+    r = random.Random(3)
+    sets = {i: set(r.sample(range(30), r.randint(1, 25))) for i in range(150)}
+    rows = [(i, i % 7, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    found = {tuple(x) for x in crowds.close_pairs(spark.createDataFrame(rows, "id long, part long, hashes binary"), 60).collect()}
+    expected = {
+        (a, b) for a, b in itertools.combinations(range(150), 2)
+        if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])
+    }
+    assert expected and expected <= found and all(a < b and a % 7 != b % 7 for a, b in found)
+
+
 def test_near_duplicates_edges(spark):
     rows = near_duplicates.near_duplicates(docs(spark, EDGES + [(8, "A"), (10, None)])).collect()
     found = {r.doc_id: r for r in rows}
