@@ -4,7 +4,8 @@ A paragraph is a line, or in a longer line a sentence, of ``LEAST_WORDS`` words
 ones (the same set of word shingles) are one *form*, so that a text repeated by the thousand is one row
 of a grouped aggregation. Forms collide in bands of their MinHash signature; within a band they are
 sorted by the rest of the signature, and each is compared with those before it, nearest first. Exact
-Jaccard similarity confirms; components of confirmed pairs are clusters, of which the first paragraph stays.
+Jaccard similarity confirms. Where a crowded band is then still in several components, all pairs of its forms
+follow by their full sets (``crowds``). Components of confirmed pairs are clusters, of which the first paragraph stays.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.crowds import close_pairs
 from plumbline.llm.frames import keep_ids, map_rows, stored
 from plumbline.llm.words import MinHash, copies_needed, mixed, similar, word_hashes
 
@@ -24,7 +26,7 @@ from plumbline.llm.words import MinHash, copies_needed, mixed, similar, word_has
 LEAST_WORDS, LEAST_RUN = 8, 20
 #: Minima in a band, and the share of pairs at the threshold that may miss all bands.
 ROWS, MISS = 1, 0.016
-#: How many forms before it, in the order of a band, each form is compared with.
+#: How many forms before it, in the order of a band, each form is compared with; bands of more are crowded.
 REACH = 6
 _PAIR = "a_doc {0}, a_place bigint, b_doc {0}, b_place bigint"
 
@@ -104,7 +106,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """Pairs of forms at most ``REACH`` places apart in the same band and key, over sorted partitions.
 
     ``rows (key, doc, place)``. The ends of every partition come out with their key, so that a key which
-    is split over partitions can be joined again.
+    is split over partitions can be joined again; so does one form of every key of more than ``REACH + 1``.
     """
     kind = rows.schema["doc"].dataType.simpleString()
 
@@ -126,7 +128,11 @@ def _neighbours(rows: DataFrame) -> DataFrame:
                 if not len(after):
                     break
                 yield pack([None] * len(after), docs[after - step], places[after - step], docs[after].tolist(), places[after].tolist())
-            last = [keys[-REACH:], docs[-REACH:], places[-REACH:]]
+            over = np.arange(max(fresh, REACH + 1), len(keys))
+            over = over[keys[over] == keys[over - REACH - 1]]
+            for i in over[np.unique(keys[over], return_index=True)[1]].tolist():
+                yield edge(keys[i], docs[i], places[i])
+            last = [keys[-REACH - 1 :], docs[-REACH - 1 :], places[-REACH - 1 :]]
         if not first:
             yield edge(last[0][-1], last[1][-1], last[2][-1])
 
@@ -145,8 +151,9 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _candidates(forms: DataFrame, bands: int) -> DataFrame:
-    """Pairs of forms that collide in a band, ``a`` before ``b``; forms are named by their first paragraph."""
+def _candidates(forms: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of forms that collide in a band, ``a`` before ``b``; forms are named by their first paragraph. And
+    ``(key, p)``, the forms of crowded bands, of whose pairs only a part is among them."""
     keys = [f"k{i}" for i in range(bands)]
     tagged = F.array(
         *(
@@ -163,12 +170,12 @@ def _candidates(forms: DataFrame, bands: int) -> DataFrame:
     across = joined.select("first.a_doc", "first.a_place", F.col("end.a_doc").alias("b_doc"), F.col("end.a_place").alias("b_place"))
     pairs = found.filter("key is null").drop("key").unionByName(across)
     a, b = F.struct(F.col("a_doc").alias("doc"), F.col("a_place").alias("place")), F.struct(F.col("b_doc").alias("doc"), F.col("b_place").alias("place"))
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+    crowd = rows.join(first.select("key"), "key").select("key", F.struct("doc", "place").alias("p"))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct(), crowd
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidate pairs whose sets of shingles are similar enough."""
-    ends = pairs.select(F.col("a").alias("p")).unionByName(pairs.select(F.col("b").alias("p"))).distinct()
+def _sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(p, shingles)`` of the paragraphs ``ends (p)``, stored."""
     wanted = ends.groupBy(F.col("p.doc").alias("wanted")).agg(F.collect_list("p.place").alias("places"))
     there = docs.join(wanted, docs.doc == wanted.wanted).select("doc", "text", "places")
     kind = docs.schema["doc"].dataType.simpleString()
@@ -185,7 +192,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
         return out
 
     known = stored(map_rows(there, ["doc", "text", "places"], sets, f"doc {kind}, place bigint, shingles binary"), "shingles")
-    known = known.select(F.struct("doc", "place").alias("p"), "shingles")
+    return known.select(F.struct("doc", "place").alias("p"), "shingles")
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose sets of shingles, ``known (p, shingles)``, are similar enough."""
+    kind = pairs.schema["a"].dataType["doc"].dataType.simpleString()
 
     def confirm(a, b, x, y):
         kept = [i for i in range(len(a)) if similar(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), percent)]
@@ -196,6 +208,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return map_rows(both, ["a", "b", "s_a", "s_b"], confirm, f"a struct<doc:{kind},place:bigint>, b struct<doc:{kind},place:bigint>")
 
 
+def _clusters(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(node, component)`` of the forms that are similar enough to another one."""
+    ends = pairs.select(F.col("a").alias("p")).unionByName(pairs.select(F.col("b").alias("p"))).distinct()
+    found = stored(_confirmed(pairs, _sets(ends, docs, width), percent), "links")
+    groups = components(found)
+    parts = crowd.join(groups, crowd.p == groups.node, "left").select("key", "p", F.coalesce("component", "p").alias("part"))
+    parts = stored(parts, "crowd")
+    apart = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key")
+    members = stored(parts.join(apart, "key").select("p", "part").distinct(), "members")
+    if members.isEmpty():
+        return groups
+    known = _sets(members.select("p"), docs, width)
+    sets = stored(known.join(members, "p").select(F.col("p").alias("id"), "part", F.col("shingles").alias("hashes")), "sets")
+    more = stored(close_pairs(sets, percent), "close")
+    return components(found.unionByName(_confirmed(more, known, percent)))
+
+
 def repeated_paragraphs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -212,8 +241,8 @@ def repeated_paragraphs(
     rows = stored(_forms(texts, width, bands), "paragraphs")
     keys = ["form", *(f"k{i}" for i in range(bands))]
     forms = rows.groupBy(*keys).agg(F.min(F.struct("doc", "place")).alias("first"))
-    pairs = stored(_candidates(forms.select("first.doc", "first.place", *keys[1:]), bands), "pairs")
-    groups = components(_confirmed(pairs, texts, width, percent))
+    pairs, crowd = _candidates(stored(forms.select("first.doc", "first.place", *keys[1:]), "forms"), bands)
+    groups = _clusters(stored(pairs, "pairs"), crowd, texts, width, percent)
     groups = groups.filter("node <> component").select(F.col("node").alias("first"), "component")
     many = rows.groupBy(*keys).agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
     many = many.join(groups, "first", "left").filter("copies > 1 or component is not null")

@@ -170,6 +170,21 @@ def test_paragraphs_equal_brute_force(spark):
     assert paragraphs.repeated_paragraphs(docs(spark, [])).count() == 0
 
 
+def test_templated_paragraphs_in_crowded_bands(spark):
+    r = random.Random(21)
+    word = lambda: f"w{r.randint(0, 10**9)}"
+    template = [word() for _ in range(22)]
+    lines = [[word() for _ in range(6)] + template + [word() for _ in range(6)] for _ in range(400)]
+    lines += [lines[i][:-4] + [word() for _ in range(4)] for i in range(0, 160, 2)]
+    r.shuffle(lines)
+    texts = {i: " ".join(line) for i, line in enumerate(lines)}
+    expected = brute_paragraphs(texts)
+    assert sum(x[1] for x in expected.values()) == 80
+    rows = paragraphs.repeated_paragraphs(docs(spark, texts.items())).collect()
+    found = {x.doc_id: x.n_repeated for x in rows}
+    assert sum(found[k] != expected[k][1] for k in texts) <= 1  # pairs that share no band
+
+
 def test_edit_distance_inside():
     r = random.Random(2)
     for _ in range(200):
