@@ -1,6 +1,7 @@
 """Repeated paragraphs, also with small changes: MinHash banding.
 
-A paragraph is a line, or in a longer line a sentence, of ``LEAST_WORDS`` words or more. Equal
+A paragraph is a line, or in a longer line a sentence, of ``LEAST_WORDS`` words or more. Where shorter ones
+follow each other, every shortest row of them that has so many words is one. Equal
 ones (the same set of word shingles) are one *form*, so that a text repeated by the thousand is one row
 of a grouped aggregation. Forms collide in bands of their MinHash signature; within a band they are
 sorted by the rest of the signature, and each is compared with those before it, nearest first. Exact
@@ -42,21 +43,39 @@ def paragraph_bounds(text: str) -> tuple[list[bytes], np.ndarray]:
     return words, np.unique(np.concatenate([[0], firsts, ends, [len(words)]]).astype(np.int64))
 
 
-def _shingled(words: list[bytes], bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the paragraphs of enough words: their numbers, hashes of their shingles one after another, and
-    where each one's begin."""
-    sizes = np.diff(bounds)
-    chosen = np.flatnonzero(sizes >= max(LEAST_WORDS, width))
+def paragraph_spans(bounds: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the paragraphs of ``least`` words or more, in order; no two have the same start or end.
+
+    Neighbours of fewer words are joined from each of their starts to the first end that is far enough, the shortest
+    row for each end. So a copied passage has the same rows, wherever it stands; two rows share less than ``least`` words.
+    """
+    short = np.diff(bounds) < least
+    long = np.flatnonzero(~short)
+    few = np.flatnonzero(short)
+    stops = np.r_[long, len(short)][np.searchsorted(long, few)]
+    ends = np.searchsorted(bounds, bounds[few] + least)
+    few, ends = few[ends <= stops], ends[ends <= stops]
+    last = np.r_[ends[1:] != ends[:-1], True][: len(ends)]
+    starts, ends = np.r_[bounds[long], bounds[few[last]]], np.r_[bounds[long + 1], bounds[ends[last]]]
+    order = np.argsort(starts)
+    return starts[order], ends[order]
+
+
+def _shingled(words: list[bytes], bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the paragraphs of enough words: their starts and numbers of words, hashes of their shingles one after
+    another, and where each one's begin."""
+    firsts, ends = paragraph_spans(bounds, max(LEAST_WORDS, width))
+    sizes = ends - firsts
     hashes = word_hashes(words)
     rolled = hashes[: max(0, len(words) - width + 1)].copy()
     for offset in range(1, width):
         rolled *= np.uint64(0x9E3779B97F4A7C15)
         rolled += hashes[offset : offset + len(rolled)]
     rolled = mixed(rolled)
-    counts = sizes[chosen] - width + 1
+    counts = sizes - width + 1
     starts = np.cumsum(counts) - counts
-    at = np.repeat(bounds[chosen] - starts, counts) + np.arange(int(counts.sum()))
-    return chosen, rolled[at], starts
+    at = np.repeat(firsts - starts, counts) + np.arange(int(counts.sum()))
+    return firsts, sizes, rolled[at], starts
 
 
 def _forms(docs: DataFrame, width: int, bands: int) -> DataFrame:
@@ -73,13 +92,13 @@ def _forms(docs: DataFrame, width: int, bands: int) -> DataFrame:
                 owners, places, offsets, sizes, sets, begins, total = [], [], [], [], [], [], 0
                 for owner, text in enumerate(rows.column(1).to_pylist()):
                     words, bounds = paragraph_bounds(text or "")
-                    chosen, hashes, starts = _shingled(words, bounds, width)
-                    if not len(chosen):
+                    firsts, lengths, hashes, starts = _shingled(words, bounds, width)
+                    if not len(firsts):
                         continue
-                    owners.append(np.full(len(chosen), owner))
-                    places.append(np.arange(len(chosen)))
-                    offsets.append(bounds[chosen])
-                    sizes.append(np.diff(bounds)[chosen])
+                    owners.append(np.full(len(firsts), owner))
+                    places.append(np.arange(len(firsts)))
+                    offsets.append(firsts)
+                    sizes.append(lengths)
                     sets.append(hashes)
                     begins.append(starts + total)
                     total += len(hashes)
@@ -184,7 +203,7 @@ def _sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         out = [], [], []
         for key, text, wanted in zip(ids, texts, places):
             words, bounds = paragraph_bounds(text)
-            _, hashes, starts = _shingled(words, bounds, width)
+            _, _, hashes, starts = _shingled(words, bounds, width)
             starts = np.r_[starts, len(hashes)]
             for place in wanted:
                 for column, value in zip(out, (key, place, np.unique(hashes[starts[place] : starts[place + 1]]).tobytes())):
@@ -230,7 +249,7 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """``(doc_id, n_paragraphs, n_repeated, removed array<struct<start, end>>)`` for every document.
 
-    ``n_paragraphs`` counts paragraphs of ``LEAST_WORDS`` words or more, ``n_repeated`` those that are not the first
+    ``n_paragraphs`` counts paragraphs of ``LEAST_WORDS`` words or more, rows of shorter ones too, ``n_repeated`` those that are not the first
     of their cluster (by id, then place). ``removed`` are spans in words: runs of repeated paragraphs, with
     the shorter ones between them, of ``LEAST_RUN`` words or more. NULL, empty and blank texts have no
     paragraphs. Rows that repeat an id must repeat its text and give one row; rows with a NULL id are

@@ -185,6 +185,20 @@ def test_templated_paragraphs_in_crowded_bands(spark):
     assert sum(found[k] != expected[k][1] for k in texts) <= 1  # pairs that share no band
 
 
+def test_repeated_short_lines(spark):
+    r = random.Random(9)
+    line = lambda n: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+    passage = "\n".join(line(n) for n in (4, 7, 5, 6, 4, 7, 5, 6, 4, 7, 5))
+    texts = {1: f"{passage}\n{line(12)}", 2: f"{line(12)}\n{passage}", 3: f"{line(3)}\n{line(5)}\n{passage}\n{line(6)}\n{line(2)}", 4: line(4)}
+    rows = {x.doc_id: x for x in paragraphs.repeated_paragraphs(docs(spark, texts.items())).collect()}
+    assert len(passage.split()) == 60 and not rows[1].removed and not rows[1].n_repeated
+    assert [tuple(s) for s in rows[2].removed] == [(12, 72)] and [tuple(s) for s in rows[3].removed] == [(8, 68)]
+    assert rows[4].n_paragraphs == 0
+    # one long line ends two rows: only the shorter one counts
+    starts, ends = paragraphs.paragraph_spans(np.array([0, 1, 7, 14, 30, 33]))
+    assert (starts.tolist(), ends.tolist()) == ([1, 14], [14, 30])
+
+
 def test_edit_distance_inside():
     r = random.Random(2)
     for _ in range(200):
