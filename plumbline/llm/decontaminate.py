@@ -11,6 +11,9 @@ Windows have the size of an item. They are placed where two neighbouring words o
 neighbours in the item as well, at the longer half of its pairs, of which a copy with few edits
 keeps some; walks go from there to the
 window's end and back to its start, so that edits before the place don't shift what follows.
+
+Items of few words but many characters (a language without spaces, a formula, an address) are cut into one piece more
+than they may have edits. A copy keeps one of these unchanged, so all its windows are found, and none is walked.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from plumbline.llm.words import mixed, split_words, word_hashes
 
 #: An item is found where this share of its characters' number, or fewer, are edits.
 MOST_EDITS = 0.15
-#: Items of fewer words are not searched: they occur by chance.
-LEAST_WORDS = 5
+#: Items of fewer words have few pairs of them: they are searched by pieces of ``PIECE`` characters. Those that have fewer
+#: than ``LEAST_CHARS`` characters as well are not searched: they occur by chance.
+LEAST_WORDS, LEAST_CHARS, PIECE = 5, 25, 5
 #: Keys, characters of the embedding in each, and steps of a walk for each character of the window.
 KEYS, SAMPLED, STRETCH = 16, 2, 3
 #: Longest part of a window that is walked along; verification is always by the whole item.
@@ -68,6 +72,15 @@ def edit_distance_inside(item: str, text: str) -> int:
     return best
 
 
+def _piece_hashes(text: str) -> np.ndarray:
+    """A hash of the ``PIECE`` characters at each place of ``text``."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    rolled = np.zeros(max(0, len(letters) - PIECE + 1), np.uint64)
+    for i in range(PIECE):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + letters[i : i + len(rolled)]
+    return mixed(rolled)
+
+
 class Walks:
     """Random walks with shared coins: sampled characters of the embeddings of many strings at once."""
 
@@ -102,9 +115,11 @@ class Items:
 
     def __init__(self, items: Iterable[tuple[object, str]]):
         self.ids, self.texts, self.words, at = [], [], [], []
+        self.pieces: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             words = split_words(text)
             if len(words) < LEAST_WORDS:
+                self._cut(key, b" ".join(words).decode("utf-8"), words)
                 continue
             hashes = word_hashes(words)
             pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
@@ -117,11 +132,45 @@ class Items:
         for h, item, place in at:
             self.places[h].append((item, place))
         self.hashes = np.array(sorted(self.places), np.uint64)
+        self.piece_hashes = np.array(sorted(self.pieces), np.uint64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
         self.walks = Walks()
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
+    def _cut(self, key: object, text: str, words: list[bytes]) -> None:
+        """Takes in an item of few words by its pieces, if it is long enough."""
+        if len(text) < LEAST_CHARS:
+            return
+        hashes, step = _piece_hashes(text), len(text) // (int(MOST_EDITS * len(text)) + 1)
+        for place in range(0, step * (len(text) // step), step):
+            self.pieces[int(hashes[place])].append((len(self.ids), place))
+        self.ids.append(key)
+        self.words.append(words)
+        self.texts.append(text)
+
+    def _find_pieces(self, text: str) -> dict[int, int]:
+        """``{item: distance}`` of the items of few words in ``text``; the distance is the least there is."""
+        hashes = _piece_hashes(text)
+        at = np.minimum(np.searchsorted(self.piece_hashes, hashes), len(self.piece_hashes) - 1)
+        starts: dict[int, set[int]] = defaultdict(set)
+        for place in np.flatnonzero(self.piece_hashes[at] == hashes).tolist():
+            for item, before in self.pieces[int(hashes[place])]:
+                starts[item].add(place - before)
+        found = {}
+        for item, wanted in starts.items():
+            limit, size, regions = self.most_edits(item), len(self.texts[item]), []
+            for start in sorted(wanted):
+                first, last = max(0, start - limit), start + size + limit
+                if regions and first <= regions[-1][1]:
+                    regions[-1][1] = last
+                else:
+                    regions.append([first, last])
+            distance = min(edit_distance_inside(self.texts[item], text[first:last]) for first, last in regions)
+            if distance <= limit:
+                found[item] = distance
+        return found
+
     def most_edits(self, item: int) -> int:
         return int(MOST_EDITS * len(self.texts[item]))
 
@@ -160,8 +209,11 @@ class Items:
     def find(self, texts: list[str | None]) -> list[list[tuple[object, int, int]]]:
         """For each text ``(item id, distance, item length)`` of every item found in it."""
         windows, owners = [], []
+        found: list[dict[int, int]] = [{} for _ in texts]
         for owner, text in enumerate(texts):
             words = split_words(text)
+            if words and len(self.piece_hashes):
+                found[owner].update(self._find_pieces(b" ".join(words).decode("utf-8", "replace")))
             if len(words) < 2 or not len(self.hashes):
                 continue
             hashes = word_hashes(words)
@@ -171,7 +223,6 @@ class Items:
                 for item, at in self.places.get(h, ()):
                     windows.append((words, place, item, at))
                     owners.append(owner)
-        found: list[dict[int, int]] = [{} for _ in texts]
         tried: set[tuple[int, int, int]] = set()
         for owner, (words, place, item, at), same in zip(owners, windows, self.agree(windows)):
             start = place - at
@@ -194,7 +245,7 @@ def contaminated(
 
     Compared are words of A-Z as a-z with single spaces between. An item is found where a substring is within
     ``MOST_EDITS`` of its length in edits; ``distance`` is the least seen. A document with two items has two rows, one without
-    has none. NULL, empty and blank texts and items, and items of fewer than ``LEAST_WORDS`` words, are found
+    has none. NULL, empty and blank texts and items, and items of fewer than ``LEAST_WORDS`` words and ``LEAST_CHARS`` characters, are found
     nowhere. Repeated documents and items are found each. Without documents or items: no rows. Other columns are not
     looked at. Items go to the executors in blocks of about ``BLOCK`` bytes, each a pass over the documents.
     """

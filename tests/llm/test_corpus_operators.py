@@ -237,6 +237,23 @@ def test_decontamination_recall_and_edges(spark):
     assert decontaminate.contaminated(docs(spark, []), benchmark).count() == 0
 
 
+def test_items_of_few_words():
+    r = random.Random(17)
+    letters = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    items = [(0, letters(200)), (1, letters(25)), (2, letters(24)), (3, letters(61) + " " + letters(60)), (4, "x" * 40), (5, None), (6, " ")]
+    index = decontaminate.Items(items)
+    for key in (0, 1, 3):
+        text = list(items[key][1])
+        for edits in (0, int(0.15 * len(text)) // 2, int(0.15 * len(text))):
+            copy = list(text)
+            for i in range(edits):  # evenly spread
+                copy[i * len(copy) // edits] = letters(1)
+            [hits] = index.find([f"{letters(70)} {''.join(copy)}{letters(9)}"])
+            assert [h[0] for h in hits] == [key] and hits[0][1] <= edits and hits[0][2] == len(text)
+    assert index.find([items[2][1], letters(300), "", None, "ab " * 9]) == [[]] * 5
+    assert index.find(["x" * 34, "x" * 33]) == [[(4, 6, 40)], []]
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2000)
     rows = registry.op6_cgk_decontamination(spark, SF).collect()
