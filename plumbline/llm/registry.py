@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, near_duplicates, page_text, paragraphs, quality, repetition, secrets, substrings
+from plumbline.llm import (
+    bpe, centroids, chat, decontaminate, near_duplicates, page_text, paragraphs, quality, repetition, secrets, simhash, substrings, whitening,
+)
 from plumbline.llm.frames import table
 
 
@@ -81,11 +83,27 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error", "dims"
+    )
+
+
+def op13_drift_bounded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rule_ensemble, op2_paragraph_minhash, op3_guess_cost, op4_segment_tree_bpe, op5_page_tree_model,
         op6_cgk_decontamination, op7_suffix_array_repetition, op8_column_sorted_dedup, op9_offset_masks, op10_minhash_forest,
+        op11_simhash_pigeonring, op12_bit_sliced_whitening, op13_drift_bounded_clusters,
     )
 }
 #: SQL cannot express the operators' learned models, tokenizers and searches in whole; tests hold them against brute force.
