@@ -14,6 +14,7 @@ from plumbline.functions.numbers import percent_half_up
 from plumbline.functions.text import text_literal
 from plumbline.plans.fused import Measures, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
+from plumbline.plans.sums import GATHERED, binned, column_means, column_sums, piece_sums, rounded
 from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve, settled
 
 # A column with a larger share of NULLs (in percent) is flagged.
@@ -35,7 +36,11 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     chosen = [p for p in _positions(df, columns) if isinstance(fields[p].dataType, T.NumericType)]
     if not chosen:
         raise ValueError("no numeric columns")
-    return _named(df, _side_by_side(df, chosen, _range), "min", "max", "mean")
+    found = column_means(column_sums(df, chosen))
+    # Columns without a value keep a row.
+    nothing = [struct_sql({"pos": str(p), **{c: "CAST(NULL AS DOUBLE)" for c in ("min", "max", "mean")}}) for p in chosen]
+    every = found.select("pos", "min", "max", "mean").unionByName(literal_rows(df.sparkSession, nothing))
+    return _named(df, every.groupBy("pos").agg(*[F.max(c).alias(c) for c in ("min", "max", "mean")]), "min", "max", "mean")
 
 
 def distinct_counts(
@@ -144,52 +149,59 @@ def _from_counts(df: DataFrame, positions: Sequence[int], columns_per_scan: int
         )
         for p in positions
     ]
-    counts = value_counts(df, positions, columns_per_scan)
-    stats = {
+    counts = value_counts(df, positions, columns_per_scan).unionByName(literal_rows(df.sparkSession, nothing))
+    partial = {
         "nulls": "sum(IF(is_null, n, 0))",
         "unique": "count_if(n > 0)",
         "total": "sum(n)",
-        "min": "min(value)",
-        "max": "max(value)",
-        "mean": "try_divide(sum(value * n), sum(IF(value IS NULL, 0, n)))",
+        "low": "min(value)",
+        "high": "max(value)",
+        "present": "sum(IF(value IS NULL, 0, n))",
+        **piece_sums("n"),
     }
-    return (
-        counts.unionByName(literal_rows(df.sparkSession, nothing))
-        .groupBy("pos")
-        .agg(*[F.expr(f"{sql} AS {name}") for name, sql in stats.items()])
-    )
+    merged = {
+        "nulls": "sum(nulls)",
+        "unique": "sum(unique)",
+        "total": "sum(total)",
+        "min": "min(low)",
+        "max": "max(high)",
+        "present": "sum(present)",
+        "bins": GATHERED,
+    }
+    by_bin = binned(counts).groupBy("pos", "bin").agg(*[F.expr(f"{sql} AS {name}") for name, sql in partial.items()])
+    gathered = by_bin.groupBy("pos").agg(*[F.expr(f"{sql} AS {name}") for name, sql in merged.items()])
+    stats = rounded(gathered, "bins", "summed")
+    return stats.withColumn("mean", F.try_divide("summed", "present")).drop("summed", "present")
 
 
 def _nulls(column: str) -> str:
     return f"count(CASE WHEN {column} IS NULL THEN 1 END)"
 
 
-def _range(column: str, dtype: T.DataType) -> dict[str, str]:
-    if not isinstance(dtype, T.NumericType):
-        return {k: "CAST(NULL AS DOUBLE)" for k in ("min", "max", "mean")}
-    value = f"CAST({column} AS DOUBLE)"
-    return {"min": f"min({value})", "max": f"max({value})", "mean": f"avg({value})"}
-
-
 def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) -> DataFrame:
     """Statistics of columns whose distinct values are not counted exactly."""
     fields = df.schema.fields
     plain = _side_by_side(
         df,
         positions,
-        lambda c, dtype: {"nulls": _nulls(c), "total": "count(1)", **_range(c, dtype)},
+        lambda c, _: {"nulls": _nulls(c), "total": "count(1)"},
     )
     estimable = [p for p in positions if estimate and groupable(fields[p].dataType)]
-    if not estimable:
-        return plain.withColumn("unique", F.lit(None).cast("bigint"))
-    # A pass of its own: the estimator's sketches would keep the plain aggregates
-    # out of generated code. It skips NULL, which counts as a value.
-    estimates = _side_by_side(df, estimable, lambda c, _: {"unique": f"approx_count_distinct({c})"})
-    values = [c for c in plain.columns if c != "pos"]
+    parts = [plain]
+    if estimable:
+        # A pass of its own: the estimator's sketches would keep the plain aggregates
+        # out of generated code. It skips NULL, which counts as a value.
+        parts.append(_side_by_side(df, estimable, lambda c, _: {"estimate": f"approx_count_distinct({c})"}))
+    if numeric := [p for p in positions if isinstance(fields[p].dataType, T.NumericType)]:
+        parts.append(column_means(column_sums(df, numeric)).drop("present"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for name, kind in (("estimate", "bigint"), ("min", "double"), ("max", "double"), ("mean", "double")):
+        if name not in every.columns:
+            every = every.withColumn(name, F.lit(None).cast(kind))
+    values = ("nulls", "total", "estimate", "min", "max", "mean")
     return (
-        plain.unionByName(estimates, allowMissingColumns=True)
-        .groupBy("pos")
-        .agg(*[F.max(c).alias(c) for c in values], F.max("unique").alias("estimate"))
+        every.groupBy("pos")
+        .agg(*[F.max(c).alias(c) for c in values])
         .withColumn("unique", F.col("estimate") + (F.col("nulls") > 0).cast("bigint"))
         .drop("estimate")
     )

@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import ROUND_CEILING, ROUND_FLOOR, Context, Decimal, InvalidOperation
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -87,9 +88,28 @@ def _as_float(value: object, otherwise: object) -> object:
 
 
 def _read_bound(given: object) -> object:
-    """A number; nothing for a blank text; what is no number stays, to be reported."""
+    """A number; nothing for a blank text; what is no number stays, to be reported.
+
+    Numbers are floats. Those that a float cannot hold stay whole or decimal numbers.
+    """
     bare = given.strip() if isinstance(given, str) else given
-    return None if bare is None or bare == "" else _as_float(bare, given)
+    if bare is None or bare == "":
+        return None
+    try:
+        near = float(bare)
+    except OverflowError:
+        near = math.inf if bare > 0 else -math.inf
+    except (TypeError, ValueError):
+        return given
+    if isinstance(bare, float):
+        return near
+    try:
+        exact = Decimal(bare)
+    except (InvalidOperation, TypeError, ValueError):
+        return near
+    if not exact.is_finite() or math.isfinite(near) and Decimal(repr(near)) == exact:
+        return near
+    return int(exact) if exact.adjusted() <= 400 and exact == exact.to_integral_value() else exact
 
 
 def _read_members(given: object) -> object:
@@ -149,6 +169,7 @@ class Check:
     error: str | None = None
     verdict: Callable[[Measures], Verdict] | None = None
     by_value: bool = False  # needs the counts per distinct value
+    by_sum: bool = False  # needs the column's exact sum
 
     def row(self, measures: Measures) -> str:
         """The result row as a struct over the aggregates that ``measures``
@@ -204,6 +225,7 @@ def bind(pos: int, rule: Rule, schema: T.StructType, spark: SparkSession) -> Che
         position,
         verdict=verdict,
         by_value=kind == "expect_column_values_to_be_unique",
+        by_sum=kind == "expect_column_mean_to_be_between",
     )
 
 
@@ -253,7 +275,7 @@ def _verdict(
     bounds = _Bounds.of(kwargs)
     if kind == "expect_column_mean_to_be_between":
         return lambda m: _mean(m, position, bounds)
-    outside = f"NOT ({bounds.hold(f'CAST({column} AS DOUBLE)')})"
+    outside = f"NOT ({bounds.hold_in(column, dtype)})"
     return lambda m: _scalar(m, position, outside, mostly)
 
 
@@ -262,8 +284,8 @@ def _verdict(
 
 @dataclass(frozen=True)
 class _Bounds:
-    low: float | None
-    high: float | None
+    low: float | int | Decimal | None
+    high: float | int | Decimal | None
     above: bool = False  # low itself is outside
     below: bool = False  # high itself is outside
 
@@ -280,12 +302,54 @@ class _Bounds:
         """Whether a DOUBLE is within the bounds; NULL for NULL."""
         tests = []
         if self.low is not None:
-            tests.append(f"{value} {'>' if self.above else '>='} {_number(self.low)}")
+            low = _double(self.low, up=True)
+            tests.append(f"{value} {'>' if self.above and low == self.low else '>='} {_number(low)}")
         if self.high is not None:
-            tests.append(f"{value} {'<' if self.below else '<='} {_number(self.high)}")
+            high = _double(self.high, up=False)
+            tests.append(f"{value} {'<' if self.below and high == self.high else '<='} {_number(high)}")
         # NaN sorts above every number, so a lower bound alone lets it pass.
         return " AND ".join([*tests, f"NOT isnan({value})"])
 
+    def hold_in(self, value: str, dtype: T.DataType) -> str:
+        """Whether a number of the type is within the bounds; NULL for NULL. Whole and decimal numbers
+        are compared as such: as doubles, large neighbours would be one."""
+        if isinstance(dtype, T.IntegralType):
+            digits, scale, cast = 19, 0, "BIGINT"
+        elif isinstance(dtype, T.DecimalType):
+            digits, scale, cast = dtype.precision, dtype.scale, dtype.simpleString()
+        else:
+            return self.hold(f"CAST({value} AS DOUBLE)")
+        tests = [f"{value} IS NOT NULL"]
+        for bound, strict, signs, rounding in (
+            (self.low, self.above, (">=", ">"), ROUND_CEILING),
+            (self.high, self.below, ("<=", "<"), ROUND_FLOOR),
+        ):
+            if bound is None:
+                continue
+            if bound in (math.inf, -math.inf):
+                tests += [] if (bound < 0) == (rounding == ROUND_CEILING) else ["FALSE"]
+                continue
+            exact = bound if isinstance(bound, Decimal) else Decimal(bound if isinstance(bound, int) else repr(bound))
+            edge = exact.quantize(Decimal(1).scaleb(-scale), rounding, Context(prec=1000, Emax=10**6, Emin=-(10**6)))
+            most = (Decimal(10**digits - 1) if cast != "BIGINT" else Decimal(2**63 - 1)).scaleb(-scale)
+            if abs(edge) > most:  # no value of the type gets that far
+                tests += [] if (edge < 0) == (rounding == ROUND_CEILING) else ["FALSE"]
+            else:
+                tests.append(f"{value} {signs[strict and edge == exact]} CAST('{edge:f}' AS {cast})")
+        # The first test is for NULL, of which nothing is known.
+        return f"CASE WHEN {tests[0]} THEN {' AND '.join(tests[1:]) or 'TRUE'} END"
+
+
+def _double(bound: float | int | Decimal, up: bool) -> float:
+    """The double that divides the others as the bound does: the next one above a lower bound, or below an upper one."""
+    try:
+        near = float(bound)
+    except OverflowError:
+        near = math.copysign(math.inf, bound)
+    if up and near < bound:
+        return math.nextafter(near, math.inf)
+    return math.nextafter(near, -math.inf) if not up and near > bound else near
+
 
 def _number(value: float) -> str:
     if math.isinf(value):
@@ -293,13 +357,13 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def _bound(kwargs: Mapping[str, object], key: str) -> float | None:
+def _bound(kwargs: Mapping[str, object], key: str) -> float | int | Decimal | None:
     value = read_parameter(key, kwargs.get(key))
     if value is None:
         return None
-    if not isinstance(value, float):
+    if not isinstance(value, (float, int, Decimal)):
         raise RuleError(f"{key} is not a number: {value!r}")
-    if math.isnan(value):
+    if value != value:
         raise RuleError(f"{key} is not a number: nan")
     return value
 
@@ -392,12 +456,13 @@ def _unique(m: Measures, position: int, mostly: float | None) -> Verdict:
 
 def _row_count(m: Measures, bounds: _Bounds) -> Verdict:
     rows = _row_total(m)
-    return Verdict(bounds.hold(f"CAST({rows} AS DOUBLE)"), observed=rows, elements=rows)
+    return Verdict(bounds.hold_in(rows, T.LongType()), observed=rows, elements=rows)
 
 
 def _mean(m: Measures, position: int, bounds: _Bounds) -> Verdict:
-    mean = m.need(f"avg(CAST(c{position} AS DOUBLE))")
-    return Verdict(bounds.hold(mean), observed=mean, elements=_present(m, position))
+    here = f"FILTER (WHERE pos = {position})"
+    mean = m.need(f"max(mean) {here}")
+    return Verdict(bounds.hold(mean), observed=mean, elements=m.need(f"coalesce(max(present) {here}, 0)"))
 
 
 def bind_all(rules: Sequence[Rule], schema: T.StructType, spark: SparkSession) -> list[Check]:

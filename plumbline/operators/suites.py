@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def suite_row(spark: SparkSession, name: str, rules: Sequence[Rule], created_at:
     rows = [
         (
             r.expectation_type,
-            {k: v if isinstance(v, str) else json.dumps(v) for k, v in r.kwargs.items() if v is not None},
+            {k: _text(k, v) for k, v in r.kwargs.items() if v is not None},
         )
         for r in rules
     ]
@@ -176,12 +177,23 @@ def suite_row(spark: SparkSession, name: str, rules: Sequence[Rule], created_at:
     return frame.select("name", (stamp if created_at is None else created_at).alias("created_at"), "expectations")
 
 
+def _text(key: str, value: object) -> str:
+    """A parameter as it is kept. Value sets are kept as JSON lists, and bounds as the number they were read as, so that neither is
+    read a second time as something else."""
+    if key == "value_set":
+        value = read_parameter(key, value)
+    return str(value) if isinstance(value, (str, Decimal)) else json.dumps(value)
+
+
 def _value(key: str, text: str | None) -> object:
+    """A parameter as rules take it: :func:`_text` undone, and texts that came from elsewhere read as in a form."""
     if text is None:
         return None
     if key == "value_set" and text.startswith("["):
         try:
-            return json.loads(text)
+            listed = json.loads(text)
         except ValueError:
-            pass
+            listed = None
+        if isinstance(listed, list):
+            return listed
     return read_parameter(key, text)

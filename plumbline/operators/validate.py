@@ -16,6 +16,7 @@ from plumbline.functions.text import text_literal
 from plumbline.operators.rules import CHECK_RESULT, Check, Rule, bind_all
 from plumbline.plans.fused import Measures, in_order, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
+from plumbline.plans.sums import column_means, column_sums
 from plumbline.sources.spec import SourceSpec, reads_whole_rows, resolve, settled, source_label
 
 # Aggregates computed by one pass. Beyond 100 columns Spark leaves whole-stage
@@ -34,8 +35,8 @@ def validate(
 ) -> DataFrame:
     """One row per rule, in order (schema ``CHECK_RESULT``).
 
-    All rules on single values, counts and means share one aggregation of the
-    dataset; uniqueness rules take grouped ones. Nothing runs until the result
+    All rules on single values and counts share one aggregation of the dataset, and those
+    on means another; uniqueness rules take grouped ones. Nothing runs until the result
     is used.
     """
     return _evaluate(df, _bound(df, rules), columns_per_scan, measures_per_scan)
@@ -61,8 +62,9 @@ def validate_isolated(
     whose computation fails for some row) becomes a failed row with the message,
     and the other rules still get their verdicts.
 
-    Runs the rules at once, together; only after a failure are they halved until
-    the culprits stand alone. Only finished result rows reach the driver.
+    Runs the rules at once, together; only after a failure are first the columns and
+    then the rules of one column halved until the culprits stand alone. Only finished
+    result rows reach the driver.
     """
     rows = _isolate(df, _bound(df, rules), columns_per_scan, measures_per_scan)
     return df.sparkSession.createDataFrame(rows, CHECK_RESULT).coalesce(1).sortWithinPartitions("pos")
@@ -91,17 +93,13 @@ def _bound(df: DataFrame, rules: Sequence[Rule]) -> list[Check]:
 def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | None, measures_per_scan: int) -> DataFrame:
     flat = positional(df)
     parts: list[tuple[DataFrame, list[str]]] = []
-    scalar = [c for c in checks if not c.by_value and not _is_settled(c)]
-    for chunk in _chunks(scalar, measures_per_scan):
-        measures = Measures()
-        rows = [c.row(measures) for c in chunk]
-        parts.append((measures.over(flat), rows))
-    by_value = [c for c in checks if c.by_value and not _is_settled(c)]
-    if by_value:
-        measures = Measures()
-        rows = [c.row(measures) for c in by_value]
-        positions = sorted({c.position for c in by_value})
-        parts.append((measures.over(value_counts(df, positions, columns_per_scan)), rows))
+    open_ = [c for c in checks if not _is_settled(c)]
+    for chunk in _chunks([c for c in open_ if not c.by_value and not c.by_sum], measures_per_scan):
+        parts.append(_measured(flat, chunk))
+    if by_sum := [c for c in open_ if c.by_sum]:
+        parts.append(_measured(column_means(column_sums(df, _positions(by_sum))), by_sum))
+    if by_value := [c for c in open_ if c.by_value]:
+        parts.append(_measured(value_counts(df, _positions(by_value), columns_per_scan), by_value))
     settled = [c.row(Measures()) for c in checks if _is_settled(c)]
     if not parts:
         return literal_rows(df.sparkSession, settled).sortWithinPartitions("pos")
@@ -109,6 +107,17 @@ def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | No
     return in_order([unpack(row, structs) for row, structs in parts], "pos")
 
 
+def _measured(rows: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, list[str]]:
+    """The aggregates the checks need over ``rows``, and their result rows as structs."""
+    measures = Measures()
+    structs = [c.row(measures) for c in checks]
+    return measures.over(rows), structs
+
+
+def _positions(checks: Sequence[Check]) -> list[int]:
+    return sorted({c.position for c in checks})
+
+
 def _is_settled(check: Check) -> bool:
     """Known without data: an error, or a rule on the schema."""
     return check.verdict is None or check.rule.expectation_type == "expect_column_to_exist"

@@ -28,8 +28,8 @@ class Measures:
 
     @property
     def slots(self) -> int:
-        """Buffer columns of the aggregation: an average keeps a sum and a count."""
-        return sum(2 if sql.startswith("avg(") else 1 for sql in self._names)
+        """Buffer columns of the aggregation."""
+        return len(self._names)
 
     def need(self, aggregate: str) -> str:
         """The name of the column that will hold the aggregate."""

@@ -28,11 +28,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def _rounded(results: DataFrame) -> DataFrame:
-    """Means differ in the last digits with the order of addition."""
-    return results.withColumn("observed", F.round("observed", 4))
-
-
 # -- sources ------------------------------------------------------------------
 
 
@@ -82,8 +77,7 @@ def sql_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
                c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM orders JOIN customer ON o_custkey = c_custkey
     """
-    profiled = profile.profile_source(spark, SourceSpec("sql", text, {"tables": tables}))
-    return profiled.withColumn("mean", F.round("mean", 4))
+    return profile.profile_source(spark, SourceSpec("sql", text, {"tables": tables}))
 
 
 # -- preview and profile ------------------------------------------------------
@@ -119,23 +113,22 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = profile.numeric_stats(orders_dirty(spark, sf_dir))
-    return stats.withColumn("mean", F.round("mean", 4))
+    return profile.numeric_stats(orders_dirty(spark, sf_dir))
 
 
 @query
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(orders_dirty(spark, sf_dir)).withColumn("mean", F.round("mean", 4))
+    return profile.profile(orders_dirty(spark, sf_dir))
 
 
 @query
 def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(table(spark, sf_dir, "lineitem")).withColumn("mean", F.round("mean", 4))
+    return profile.profile(table(spark, sf_dir, "lineitem"))
 
 
 @query
 def profile_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(table(spark, sf_dir, "embeddings")).withColumn("mean", F.round("mean", 4))
+    return profile.profile(table(spark, sf_dir, "embeddings"))
 
 
 @query
@@ -161,7 +154,7 @@ def _rule_query(name: str, *rules: tuple[str, dict]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         suite = [Rule.parse(kind, kwargs) for kind, kwargs in rules]
         results = validate.validate(orders_dirty(spark, sf_dir), suite)
-        return _rounded(results.drop("kwargs", "status", "expectation_type"))
+        return results.drop("kwargs", "status", "expectation_type")
 
     run.__name__ = name
     query(run)
@@ -235,7 +228,7 @@ _rule_query(
 
 @query
 def validate_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(validate.validate(orders_dirty(spark, sf_dir), orders_suite()))
+    return validate.validate(orders_dirty(spark, sf_dir), orders_suite())
 
 
 @query
@@ -253,7 +246,7 @@ def validate_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule.parse("expect_column_values_to_be_unique", {"column": "l_extendedprice"}),
         Rule.parse("expect_column_values_to_be_unique", {"column": "l_linenumber"}),
     ]
-    return _rounded(validate.validate(table(spark, sf_dir, "lineitem"), rules))
+    return validate.validate(table(spark, sf_dir, "lineitem"), rules)
 
 
 @query
@@ -266,7 +259,7 @@ def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule.parse("expect_column_values_to_be_between", {"column": "n_chars", "min_value": 20, "max_value": ""}),
         Rule.parse("expect_column_mean_to_be_between", {"column": "n_chars", "min_value": 1, "max_value": 1e6}),
     ]
-    return _rounded(validate.validate(table(spark, sf_dir, "documents"), rules))
+    return validate.validate(table(spark, sf_dir, "documents"), rules)
 
 
 @query
@@ -295,7 +288,7 @@ def validate_many(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule.parse("expect_column_values_to_be_unique", {"column": "C_Custkey"}),
         Rule.parse("expect_column_mean_to_be_between", {"column": "s_acctbal", "min_value": 0, "max_value": 9000}),
     ]
-    return _rounded(validate.validate_many(datasets, rules).drop("kwargs"))
+    return validate.validate_many(datasets, rules).drop("kwargs")
 
 
 @query
