@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.functions.canonical import canonical_text
+
 
 def resolve_column(name: str, columns: Sequence[str]) -> str | None:
     """The column ``name`` stands for: an exact match, else one that differs in
@@ -36,8 +38,9 @@ def positional(df: DataFrame) -> DataFrame:
 
 
 def groupable(dtype: T.DataType) -> bool:
-    """Whether values of the type can be told apart by grouping (maps and
-    variants, also nested ones, cannot)."""
+    """Whether values of the type can be told apart: by grouping, or by a text of their own (variants have neither)."""
+    if canonical_text("c", dtype) is not None:
+        return True
     if isinstance(dtype, (T.MapType, T.VariantType)):
         return False
     if isinstance(dtype, T.ArrayType):

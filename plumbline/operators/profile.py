@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.canonical import canonical_text
 from plumbline.functions.columns import column_position, groupable, positional
 from plumbline.functions.numbers import percent_half_up
 from plumbline.functions.text import text_literal
@@ -65,7 +66,7 @@ def profile(
     Exact profiles derive everything from the counts per distinct value, so the
     dataset is read once, ``columns_per_scan`` columns at a time. Let all columns
     share a scan (None) when reading is expensive whatever is selected (CSV,
-    JSON, a query). Distinct texts of over 63 bytes are told apart by SHA-256.
+    JSON, a query). Texts of over 63 bytes, arrays, structs and maps are told apart by SHA-256.
 
     ``exact=False`` estimates the distinct counts (to a few percent) and shuffles
     one small row per task instead of the distinct values.
@@ -191,7 +192,7 @@ def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) ->
     if estimable:
         # A pass of its own: the estimator's sketches would keep the plain aggregates
         # out of generated code. It skips NULL, which counts as a value.
-        parts.append(_side_by_side(df, estimable, lambda c, _: {"estimate": f"approx_count_distinct({c})"}))
+        parts.append(_side_by_side(df, estimable, lambda c, dtype: {"estimate": f"approx_count_distinct({_estimable(c, dtype)})"}))
     if numeric := [p for p in positions if isinstance(fields[p].dataType, T.NumericType)]:
         parts.append(column_means(column_sums(df, numeric)).drop("present"))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -207,6 +208,11 @@ def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) ->
     )
 
 
+def _estimable(column: str, dtype: T.DataType) -> str:
+    nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
+    return (nested and canonical_text(column, dtype)) or column
+
+
 def _side_by_side(
     df: DataFrame,
     positions: Sequence[int],

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.canonical import canonical_text, digest
 from plumbline.functions.columns import positional
 
 # Columns that share one scan. A scan of column-wise files reads only the columns
@@ -38,21 +39,35 @@ def scan_width(whole_rows: bool) -> int | None:
     return None if whole_rows else DEFAULT_COLUMNS_PER_SCAN
 
 
-# Grouping keys longer than this travel as their SHA-256 digest. A digest is 64
-# hex digits, so a shorter raw key can never be mistaken for one.
+# Texts and blobs longer than this are grouped by their SHA-256 digest: 64 hex digits, so a shorter raw key can never be
+# mistaken for one.
 _LONGEST_RAW_KEY = 63
 
 
 def _key(column: str, dtype: T.DataType) -> str:
-    """The value to group by: texts and blobs have a bounded width, so that the
-    shuffle moves 64 bytes per distinct document rather than the document."""
+    """The value to group by. Its width is bounded, so that the shuffle moves a digest per distinct document, vector
+    or map rather than the thing itself."""
     if dtype == T.StringType():
-        digest = f"sha2(CAST({column} AS BINARY), 256)"
+        sha = f"sha2(CAST({column} AS BINARY), 256)"
     elif isinstance(dtype, T.BinaryType):
-        digest = f"CAST(sha2({column}, 256) AS BINARY)"
+        sha = f"CAST(sha2({column}, 256) AS BINARY)"
+    elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)) and (text := canonical_text(column, dtype)):
+        return digest(text)
     else:
         return column
-    return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY} THEN {column} ELSE {digest} END"
+    return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY} THEN {column} ELSE {sha} END"
+
+
+def key_text(column: str, dtype: T.DataType) -> str | None:
+    """A text of at most 64 bytes that differs exactly where values of the type differ; NULL for NULL. None for types
+    without one."""
+    if dtype == T.StringType():
+        return _key(column, dtype)
+    if isinstance(dtype, T.BinaryType):
+        return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY // 2} THEN hex({column}) ELSE sha2({column}, 256) END"
+    text = canonical_text(column, dtype)
+    nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
+    return f"sha2(CAST({text} AS BINARY), 256)" if text and nested else text
 
 
 def value_counts(
@@ -67,7 +82,7 @@ def value_counts(
 
     Without ``columns_per_scan``, or where it would take more than ``MOST_SCANS``
     scans, one scan serves all columns but those whose values have no text of
-    their own (vectors and the like), which are grouped one by one.
+    their own (intervals and the like), which are grouped one by one.
     """
     if not positions:
         raise ValueError("no columns to count")
@@ -78,7 +93,7 @@ def value_counts(
     parts = []
     width = columns_per_scan
     if width is None or len(positions) > MOST_SCANS * width:
-        paired = {p: key for p in positions if (key := _text_key(f"c{p}", fields[p].dataType))}
+        paired = {p: key for p in positions if (key := key_text(f"c{p}", fields[p].dataType))}
         if paired:
             parts.append(_pair_counts(flat, fields, paired))
         positions, width = [p for p in positions if p not in paired], 1
@@ -87,24 +102,6 @@ def value_counts(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _text_key(column: str, dtype: T.DataType) -> str | None:
-    """A text that differs exactly where values of the type differ; NULL for NULL.
-    None for types without one."""
-    if dtype == T.StringType():
-        return _key(column, dtype)
-    if isinstance(dtype, T.BinaryType):
-        return f"CASE WHEN octet_length({column}) <= {_LONGEST_RAW_KEY // 2} THEN hex({column}) ELSE sha2({column}, 256) END"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        # -0.0 and 0.0 are one value.
-        return f"CAST({column} + CAST(0 AS {dtype.simpleString()}) AS STRING)"
-    if isinstance(dtype, T.TimestampType):
-        # A local time may occur twice.
-        return f"CAST(unix_micros({column}) AS STRING)"
-    if isinstance(dtype, (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType)):
-        return f"CAST({column} AS STRING)"
-    return None
-
-
 def _pair_counts(flat: DataFrame, fields: Sequence[T.StructField], keys: Mapping[int, str]) -> DataFrame:
     pairs = [
         f"struct({p} AS pos, {key} AS key, {_as_double(f'c{p}', fields[p].dataType)} AS value)"

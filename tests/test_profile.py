@@ -30,7 +30,7 @@ def test_every_type_profiles(mixed, width):
     assert [r["column"] for r in found.collect()] == mixed.columns
     p = rows(found)
     assert {c: p[c]["unique"] for c in p} == {
-        "t": 4, "h": 4, "d": 4, "n": 3, "x": 4, "m": None, "a": 2, "s": 3, "a.b": 1, "am": None,
+        "t": 4, "h": 4, "d": 4, "n": 3, "x": 4, "m": 4, "a": 2, "s": 3, "a.b": 1, "am": 4,
         "bin": 1, "b": 2, "day": 1,
     }
     assert {r["total"] for r in p.values()} == {4}
@@ -81,7 +81,7 @@ def test_empty_table(spark):
     for exact in (True, False):
         p = profile.with_percentages(profile.profile(df, exact=exact)).collect()
         assert [(r["nulls"], r["unique"], r["total"], r["null_pct"], r["unique_pct"]) for r in p] == [
-            (0, 0, 0, 0, 0), (0, 0, 0, 0, 0), (0, None, 0, 0, 0)
+            (0, 0, 0, 0, 0), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)
         ]
     assert tuple(profile.dataset_summary(df, "").collect()[0]) == (0, 3, 0, "CSV")
 
@@ -144,3 +144,38 @@ def test_profile_source(spark, tmp_path):
     p = rows(profile.profile_source(spark, source))
     assert (p["name"]["nulls"], p["name"]["unique"]) == (1, 3)
     assert (p["pay"]["min"], p["pay"]["mean"], p["pay"]["type"]) == (-500.0, -245.0, "int")
+
+
+NESTED = """SELECT * FROM VALUES
+    (array('a', 'b'), array(0.0D, 1D), struct('x' AS f, array(1) AS g), map('p', 1, 'q', NULL), array(array(1), array())),
+    (array('ab'), array(-0.0D, 1D), struct('x' AS f, array(1) AS g), map('q', NULL, 'p', 1), array(array(), array(1))),
+    (array('a,b'), array(1D, 0D), struct(NULL AS f, array(1) AS g), map('p', NULL, 'q', 1), array(array(1, NULL))),
+    (array('a', NULL), array(NULL, 1D), struct('N' AS f, array(1) AS g), map('p', 1), array(array(1), NULL)),
+    (array('a', 'N'), array(1D), struct('x' AS f, array(1, NULL) AS g), map(), array(array(11))),
+    (array('a', ''), array(double('NaN')), struct('x' AS f, CAST(array() AS ARRAY<INT>) AS g), NULL, array(array(1), array(1))),
+    (array('a'), array(double('NaN')), struct('x' AS f, NULL AS g), map('p', 1, 'q', NULL), array()),
+    (array(), array(), NULL, map('p', 1, 'q', 0), NULL),
+    (NULL, NULL, NULL, NULL, NULL),
+    (array('1:b'), array(11D), struct('' AS f, array(1) AS g), map('p1', 1), array(array(1), array(1), array()))
+    AS t(texts, numbers, pair, entries, arrays)"""
+
+
+@pytest.mark.parametrize("width", [1, 5, None])
+def test_nested_values_are_told_apart(spark, width):
+    df = spark.sql(NESTED)
+    unique = [r["unique"] for r in profile.profile(df, columns_per_scan=width).collect()]
+    # The two zeros, the two NaNs and the two orders of the entries are one value each.
+    assert unique == [10, 8, 8, 7, 9]
+    plain = [df.select(c).distinct().count() for c in ("texts", "numbers", "pair", "arrays")]
+    assert unique[:3] + unique[4:] == plain
+    estimated = [r["unique"] for r in profile.profile(df, exact=False).collect()]
+    assert all(abs(a - b) <= 1 for a, b in zip(estimated, unique))
+
+
+def test_nested_keys_have_a_fixed_width(spark):
+    from plumbline.plans.grouped import value_counts
+
+    df = spark.createDataFrame([([float(i)] * 64,) for i in range(5)], "v array<float>")
+    plan = value_counts(df, [0])._jdf.queryExecution().executedPlan().toString()
+    exchange = plan[plan.index("Exchange hashpartitioning") :].splitlines()[0]
+    assert "hashpartitioning(k0" in exchange and "sha2" in plan
