@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.canonical import canonical_text
 from plumbline.functions.columns import column_position, groupable, positional
 from plumbline.functions.numbers import percent_half_up
 from plumbline.functions.text import text_literal
+from plumbline.operators.profile_states import profile_from_states, profile_state
 from plumbline.plans.fused import Measures, literal_rows, struct_sql, unpack
 from plumbline.plans.grouped import DEFAULT_COLUMNS_PER_SCAN, scan_width, value_counts
 from plumbline.plans.sums import GATHERED, binned, column_means, column_sums, piece_sums, rounded
@@ -68,7 +68,7 @@ def profile(
     share a scan (None) when reading is expensive whatever is selected (CSV,
     JSON, a query). Texts of over 63 bytes, arrays, structs and maps are told apart by SHA-256.
 
-    ``exact=False`` estimates the distinct counts (to a few percent) and shuffles
+    ``exact=False`` estimates the distinct counts (to a percent or two) and shuffles
     one small row per task instead of the distinct values.
     """
     positions = _positions(df, columns)
@@ -181,36 +181,8 @@ def _nulls(column: str) -> str:
 
 def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) -> DataFrame:
     """Statistics of columns whose distinct values are not counted exactly."""
-    fields = df.schema.fields
-    plain = _side_by_side(
-        df,
-        positions,
-        lambda c, _: {"nulls": _nulls(c), "total": "count(1)"},
-    )
-    estimable = [p for p in positions if estimate and groupable(fields[p].dataType)]
-    parts = [plain]
-    if estimable:
-        # A pass of its own: the estimator's sketches would keep the plain aggregates
-        # out of generated code. It skips NULL, which counts as a value.
-        parts.append(_side_by_side(df, estimable, lambda c, dtype: {"estimate": f"approx_count_distinct({_estimable(c, dtype)})"}))
-    if numeric := [p for p in positions if isinstance(fields[p].dataType, T.NumericType)]:
-        parts.append(column_means(column_sums(df, numeric)).drop("present"))
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    for name, kind in (("estimate", "bigint"), ("min", "double"), ("max", "double"), ("mean", "double")):
-        if name not in every.columns:
-            every = every.withColumn(name, F.lit(None).cast(kind))
-    values = ("nulls", "total", "estimate", "min", "max", "mean")
-    return (
-        every.groupBy("pos")
-        .agg(*[F.max(c).alias(c) for c in values])
-        .withColumn("unique", F.col("estimate") + (F.col("nulls") > 0).cast("bigint"))
-        .drop("estimate")
-    )
-
-
-def _estimable(column: str, dtype: T.DataType) -> str:
-    nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
-    return (nested and canonical_text(column, dtype)) or column
+    found = profile_from_states(profile_state(df, positions))
+    return found.withColumn("unique", F.col("unique") if estimate else F.lit(None).cast("bigint")).drop("column", "type")
 
 
 def _side_by_side(

@@ -171,6 +171,11 @@ class Check:
     by_value: bool = False  # needs the counts per distinct value
     by_sum: bool = False  # needs the column's exact sum
 
+    @property
+    def settled(self) -> bool:
+        """Known without data: an error, or a rule on the schema."""
+        return self.verdict is None or self.rule.expectation_type == "expect_column_to_exist"
+
     def row(self, measures: Measures) -> str:
         """The result row as a struct over the aggregates that ``measures``
         collects."""

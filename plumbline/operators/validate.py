@@ -93,21 +93,21 @@ def _bound(df: DataFrame, rules: Sequence[Rule]) -> list[Check]:
 def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | None, measures_per_scan: int) -> DataFrame:
     flat = positional(df)
     parts: list[tuple[DataFrame, list[str]]] = []
-    open_ = [c for c in checks if not _is_settled(c)]
-    for chunk in _chunks([c for c in open_ if not c.by_value and not c.by_sum], measures_per_scan):
-        parts.append(_measured(flat, chunk))
+    open_ = [c for c in checks if not c.settled]
+    for chunk in chunks([c for c in open_ if not c.by_value and not c.by_sum], measures_per_scan):
+        parts.append(measured(flat, chunk))
     if by_sum := [c for c in open_ if c.by_sum]:
-        parts.append(_measured(column_means(column_sums(df, _positions(by_sum))), by_sum))
+        parts.append(measured(column_means(column_sums(df, _positions(by_sum))), by_sum))
     if by_value := [c for c in open_ if c.by_value]:
-        parts.append(_measured(value_counts(df, _positions(by_value), columns_per_scan), by_value))
-    settled = [c.row(Measures()) for c in checks if _is_settled(c)]
+        parts.append(measured(value_counts(df, _positions(by_value), columns_per_scan), by_value))
+    settled = [c.row(Measures()) for c in checks if c.settled]
     if not parts:
         return literal_rows(df.sparkSession, settled).sortWithinPartitions("pos")
     parts[0][1].extend(settled)
     return in_order([unpack(row, structs) for row, structs in parts], "pos")
 
 
-def _measured(rows: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, list[str]]:
+def measured(rows: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, list[str]]:
     """The aggregates the checks need over ``rows``, and their result rows as structs."""
     measures = Measures()
     structs = [c.row(measures) for c in checks]
@@ -118,12 +118,7 @@ def _positions(checks: Sequence[Check]) -> list[int]:
     return sorted({c.position for c in checks})
 
 
-def _is_settled(check: Check) -> bool:
-    """Known without data: an error, or a rule on the schema."""
-    return check.verdict is None or check.rule.expectation_type == "expect_column_to_exist"
-
-
-def _chunks(checks: Sequence[Check], limit: int) -> list[list[Check]]:
+def chunks(checks: Sequence[Check], limit: int) -> list[list[Check]]:
     """Split by column, so that a column is scanned by as few passes as possible."""
     chunks: list[list[Check]] = []
     measures = Measures()

@@ -31,6 +31,11 @@ class Measures:
         """Buffer columns of the aggregation."""
         return len(self._names)
 
+    @property
+    def names(self) -> list[str]:
+        """The output columns."""
+        return list(self._names.values())
+
     def need(self, aggregate: str) -> str:
         """The name of the column that will hold the aggregate."""
         return self._names.setdefault(aggregate, f"m{len(self._names)}")

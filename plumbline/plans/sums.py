@@ -23,8 +23,10 @@ from plumbline.functions.columns import positional
 _LOWEST = 1074
 # Bins that stand for values which are no finite number.
 _NAN, _PLUS, _MINUS = -1, -2, -3
-# Digits of 8 bits that a sum of all bins can have.
-_DIGITS = 280
+# The bin of quarters, 2**-2.
+_WHOLE = 134
+# Digits of 8 bits that a sum may need above the bin of its largest value.
+_ABOVE = 15
 
 PIECES = ("p0", "p1", "p2", "p3")
 
@@ -36,12 +38,16 @@ def _scaled(value: str, exponent: str) -> str:
 
 def binned(rows: DataFrame, value: str = "value") -> DataFrame:
     """``rows`` with ``bin`` and the pieces of the DOUBLE column ``value``; NULL has no bin."""
+    # Whole numbers need no logarithm: quarters are the unit of one of the bins.
+    whole = f"{value} = rint({value}) AND abs({value}) <= 9007199254740992D"
     # The logarithm may be off by one at powers of two; units leave room for that.
     low = f"greatest(0, (CAST(floor(log2(abs({value}))) AS INT) + {_LOWEST - 53}) div 8)"
-    kind = f"""CASE WHEN {value} IS NULL THEN NULL WHEN isnan({value}) THEN {_NAN}
-        WHEN {value} = double('Infinity') THEN {_PLUS} WHEN {value} = double('-Infinity') THEN {_MINUS}
-        WHEN {value} = 0 THEN 0 ELSE {low} END"""
-    units = f"CASE WHEN bin >= 0 THEN CAST({_scaled(value, f'{_LOWEST} - 8 * bin')} AS BIGINT) ELSE 0L END"
+    kind = f"""CASE WHEN {value} IS NULL THEN NULL WHEN {whole} THEN {_WHOLE} WHEN isnan({value}) THEN {_NAN}
+        WHEN {value} = double('Infinity') THEN {_PLUS} WHEN {value} = double('-Infinity') THEN {_MINUS} ELSE {low} END"""
+    shift = f"CAST({_LOWEST} - 8 * bin AS INT)"
+    near = f"{value} * CAST(shiftleft(1L, {shift}) AS DOUBLE)"
+    units = f"""CASE WHEN bin IS NULL OR bin < 0 THEN 0L WHEN bin BETWEEN {_WHOLE - 7} AND {_WHOLE} THEN CAST({near} AS BIGINT)
+        ELSE CAST({_scaled(value, f'{_LOWEST} - 8 * bin')} AS BIGINT) END"""
     pieces = {f"p{j}": F.expr(f"shiftright(units, {16 * j})" + (" & 65535L" if j < 3 else "")) for j in range(4)}
     return rows.withColumn("bin", F.expr(kind)).withColumn("units", F.expr(units)).withColumns(pieces).drop("units")
 
@@ -65,9 +71,11 @@ def rounded(sums: DataFrame, bins: str, name: str) -> DataFrame:
     def has(kind: int) -> str:
         return f"exists({bins}, b -> b.bin = {kind})"
 
-    digits = f"sequence(0, {_DIGITS - 1})"
+    # Digits from the lowest bin upwards: nothing is below.
+    finite = f"filter({bins}, b -> b.bin >= 0)"
+    digits = f"sequence(_base, coalesce(array_max(transform({finite}, b -> b.bin)), 0) + {_ABOVE})"
     parts = " ".join(f"WHEN {2 * j} THEN b.p{j}" for j in range(4))
-    weights = f"transform({digits}, d -> aggregate(filter({bins}, b -> b.bin >= 0), 0L, (s, b) -> s + CASE d - b.bin {parts} ELSE 0L END))"
+    weights = f"transform({digits}, d -> aggregate({finite}, 0L, (s, b) -> s + CASE d - b.bin {parts} ELSE 0L END))"
 
     def carried(sign: str) -> str:
         start = "named_struct('carry', 0L, 'digits', CAST(array() AS ARRAY<BIGINT>))"
@@ -83,17 +91,18 @@ def rounded(sums: DataFrame, bins: str, name: str) -> DataFrame:
     # The highest eight digits less one bit, with a last bit that says whether anything is below.
     head = " | ".join([f"shiftleft({digit(j)}, {55 - 8 * j})" for j in range(7)] + [f"shiftright({digit(7)}, 1)"])
     rest = f"IF({digit(7)} & 1L = 1 OR exists(slice(_digits, 1, greatest(_top - 7, 0)), x -> x <> 0), 1L, 0L)"
-    finite = _scaled(f"IF(_up.carry < 0, -1D, 1D) * CAST(({head}) | {rest} AS DOUBLE)", f"8 * (_top - 7) + 1 - {_LOWEST}")
+    total = _scaled(f"IF(_up.carry < 0, -1D, 1D) * CAST(({head}) | {rest} AS DOUBLE)", f"8 * (_base + _top - 7) + 1 - {_LOWEST}")
     result = f"""CASE WHEN size({bins}) = 0 THEN NULL WHEN {has(_NAN)} OR {has(_PLUS)} AND {has(_MINUS)} THEN double('NaN')
         WHEN {has(_PLUS)} THEN double('Infinity') WHEN {has(_MINUS)} THEN double('-Infinity')
-        WHEN _top < 0 THEN 0D ELSE {finite} END"""
+        WHEN _top < 0 THEN 0D ELSE {total} END"""
     return (
-        sums.withColumn("_weights", F.expr(weights))
+        sums.withColumn("_base", F.expr(f"coalesce(array_min(transform({finite}, b -> b.bin)), 0)"))
+        .withColumn("_weights", F.expr(weights))
         .withColumn("_up", F.expr(carried("")))
         .withColumn("_digits", F.expr(f"IF(_up.carry < 0, {carried('-')}.digits, _up.digits)"))
-        .withColumn("_top", F.expr(f"array_max(transform({digits}, d -> IF(_digits[d] <> 0, d, -1)))"))
+        .withColumn("_top", F.expr(f"array_max(transform(_digits, (x, i) -> IF(x <> 0, i, -1)))"))
         .withColumn(name, F.expr(result))
-        .drop("_weights", "_up", "_digits", "_top", bins)
+        .drop("_base", "_weights", "_up", "_digits", "_top", bins)
     )
 
 

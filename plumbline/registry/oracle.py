@@ -127,6 +127,9 @@ ORACLE_SQL["numeric_stats"] = f"""
 """
 ORACLE_SQL["profile"] = _profile(_DIRTY, _DIRTY_COLUMNS)
 ORACLE_SQL["profile_lineitem"] = _profile("SELECT * FROM lineitem", _LINEITEM_COLUMNS)
+ORACLE_SQL["profile_approx"] = ORACLE_SQL["profile_states"] = f"""
+    SELECT * EXCLUDE ("unique"), TRUE AS within_3_percent FROM ({ORACLE_SQL['profile_lineitem']}) p
+"""
 ORACLE_SQL["profile_embeddings"] = _profile(
     "SELECT * FROM embeddings",
     [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
@@ -364,6 +367,7 @@ ORACLE_SQL["validate_lineitem"] = _with_status(
         "SELECT * FROM lineitem",
     )
 )
+ORACLE_SQL["stream_validate"] = ORACLE_SQL["validate_lineitem"]
 ORACLE_SQL["validate_documents"] = _with_status(
     _rules(
         f"count(*) AS n, {_repeated('doc_id')} AS id, {_repeated('text')} AS tx, "

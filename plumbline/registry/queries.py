@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, history, preview, profile, suites, validate
+from plumbline.operators import catalog, history, preview, profile, rule_states, suites, validate
+from plumbline.operators.profile_states import profile_from_states, read_profile_states, write_profile_state
 from plumbline.operators.rules import Rule
 from plumbline.registry.inputs import (
     catalog_objects,
@@ -137,9 +138,27 @@ def profile_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiled.select("column", "null_pct", "unique_pct", "null_alert")
 
 
+def _against_exact(estimated: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Whether the estimated distinct counts are within 3 % of the exact ones; all else as it is."""
+    exact = profile.distinct_counts(dataset).select("pos", F.col("unique").alias("exact"))
+    close = F.abs(F.col("unique") - F.col("exact")) <= 0.03 * F.col("exact")
+    return estimated.join(exact, "pos").withColumn("within_3_percent", close).drop("unique", "exact")
+
+
 @query
 def profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(table(spark, sf_dir, "lineitem"), exact=False)
+    lineitem = table(spark, sf_dir, "lineitem")
+    return _against_exact(profile.profile(lineitem, exact=False), lineitem)
+
+
+@query
+def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One state for each of the parts that a dataset may grow by.
+    lineitem, path = table(spark, sf_dir, "lineitem"), scratch_path(spark, "states")
+    for line in range(1, 8):
+        part = lineitem.filter(F.col("l_linenumber") == line) if line < 7 else lineitem.filter("l_linenumber >= 7")
+        write_profile_state(part, path, f"line_{line}")
+    return _against_exact(profile_from_states(read_profile_states(spark, path)), lineitem)
 
 
 @query
@@ -231,9 +250,8 @@ def validate_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(orders_dirty(spark, sf_dir), orders_suite())
 
 
-@query
-def validate_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [
+def _lineitem_rules() -> list[Rule]:
+    return [
         Rule.parse("expect_table_row_count_to_be_between", {"min_value": 1, "max_value": ""}),
         Rule.parse("expect_column_values_to_not_be_null", {"column": "l_orderkey"}),
         Rule.parse("expect_column_values_to_not_be_null", {"column": "l_shipdate"}),
@@ -246,7 +264,22 @@ def validate_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule.parse("expect_column_values_to_be_unique", {"column": "l_extendedprice"}),
         Rule.parse("expect_column_values_to_be_unique", {"column": "l_linenumber"}),
     ]
-    return validate.validate(table(spark, sf_dir, "lineitem"), rules)
+
+
+@query
+def validate_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate(table(spark, sf_dir, "lineitem"), _lineitem_rules())
+
+
+@query
+def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table as a folder of files that a stream takes two at a time.
+    lineitem, source = table(spark, sf_dir, "lineitem"), scratch_path(spark, "incoming")
+    lineitem.repartition(7).write.parquet(source)
+    stream = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    states = scratch_path(spark, "states")
+    rule_states.stream_validate(stream, _lineitem_rules(), states, scratch_path(spark, "progress")).awaitTermination()
+    return rule_states.stream_results(spark, states, _lineitem_rules(), lineitem.schema)
 
 
 @query

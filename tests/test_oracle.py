@@ -10,7 +10,7 @@ from tests.parity import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-ROWS_ONLY = {"file_inventory", "profile_approx"}
+ROWS_ONLY = {"file_inventory"}
 
 
 @pytest.fixture(scope="module")
