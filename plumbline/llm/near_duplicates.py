@@ -2,13 +2,15 @@
 
 Documents with equal shingle sets are one *class*, so that copies cost one grouped
 aggregation. Classes enter the trees of the forest, each a different order of the
-signature's minima, as sorted labels. Classes whose labels share a prefix are
-neighbours. Where a prefix is shared by few, all of its pairs are candidates. A
-crowded region descends: its classes move to longer prefixes, of as many more trees
-as keep the recall at the threshold. In regions that stay crowded at the last depth
-(near copies of one text by the hundred), each class is first compared with its neighbour
-in every sorted order and with the first class of the region. Where that leaves such a region in several
-components, all pairs of its classes follow by their full sets (``crowds``).
+signature's minima, as sorted labels. Classes whose labels share a prefix, its *region*, are
+neighbours. Where a prefix is shared by few, all of its pairs are candidates. In a crowded region
+each class is first compared with its neighbour in the sorted order and with the first class of the region.
+
+Levels are linked one after the other. After each, classes are counted by the component they have come into, and only
+pairs between components are of any further interest: a crowd of near copies is one component by
+then and done with. Where a crowded region has few classes outside its largest component, those meet all others. Only regions of
+many components descend: their classes move to longer prefixes, of as many more trees as keep the recall at the threshold. What is
+still crowded at the last depth is paired by the full sets (``crowds``).
 
 Candidates whose signatures agree too little to be possible are dropped; the others
 are confirmed on the full sets. Components need no link twice: a first round confirms
@@ -65,7 +67,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _labels(classes: DataFrame, level: int, trees: int) -> DataFrame:
-    """``(region, rest, id)``: for each tree the hash of the prefix, and the minima after it."""
+    """``(region, rest, id, part)``: for each tree the hash of the prefix, and the minima after it."""
     depth, kind = DEPTHS[level], classes.schema["id"].dataType.simpleString()
     orders = np.array([_order(level, tree)[: depth + 4] for tree in range(trees)])
     seeds = mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(len(DEPTHS)) + np.uint64(level))
@@ -80,66 +82,84 @@ def _labels(classes: DataFrame, level: int, trees: int) -> DataFrame:
                 for i in range(depth):
                     region = mixed(region + minima[:, :, i])
                 rest = (minima[:, :, depth] << np.uint64(31)) | (minima[:, :, depth + 1] >> np.uint64(1))
-                ids = rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), trees)))
+                each = pa.array(np.repeat(np.arange(rows.num_rows), trees))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(region.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), ids],
-                    names=["region", "rest", "id"],
-                )
+                    [
+                        pa.array(region.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)),
+                        rows.column(0).take(each), rows.column(2).take(each),
+                    ],
+                    names=["region", "rest", "id", "part"],
+                )
 
-    return classes.select("id", "signature").mapInArrow(run, f"region bigint, rest bigint, id {kind}")
+    return classes.select("id", "signature", "part").mapInArrow(run, f"region bigint, rest bigint, id {kind}, part {kind}")
 
 
 def _pairs_in_runs(rows: DataFrame, reach: int) -> DataFrame:
-    """Pairs of ids at most ``reach`` places apart in the same region, in partitions that are sorted by region."""
+    """Pairs of ids at most ``reach`` places apart in the same region but of different parts, in partitions that are sorted by region."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_regions, last_ids = np.empty(0, np.int64), np.empty(0, object)
+        last_regions, last_ids, last_parts = np.empty(0, np.int64), np.empty(0, object), np.empty(0, object)
         for batch in batches:
             regions = np.concatenate([last_regions, batch.column(0).to_numpy()])
-            ids = np.concatenate([last_ids, np.array(batch.column(1).to_pylist(), dtype=object)])
+            ids, parts = (
+                np.concatenate([last, np.array(batch.column(i).to_pylist(), dtype=object)]) for i, last in ((1, last_ids), (2, last_parts))
+            )
             fresh = len(last_ids)
             for step in range(1, reach + 1):
                 after = np.arange(max(fresh, step), len(ids))
                 after = after[regions[after] == regions[after - step]]
                 if not len(after):
                     break
+                after = after[parts[after] != parts[after - step]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[after - step].tolist(), batch.column(1).type), pa.array(ids[after].tolist(), batch.column(1).type)],
                     names=["a", "b"],
                 )
-            last_regions, last_ids = regions[-reach:], ids[-reach:]
+            last_regions, last_ids, last_parts = regions[-reach:], ids[-reach:], parts[-reach:]
 
-    return rows.select("region", "id").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.select("region", "id", "part").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """``(a, b)``, ``a < b``: pairs of classes that meet in the forest; and ``(region, id)`` of the regions that are
-    crowded at the last depth, if any, of whose pairs only a part is among them."""
-    found, at_level, crowd = [], classes, None
-    for level, depth in enumerate(DEPTHS):
-        trees = copies_needed(percent / 100, depth, MISS)
-        labels = stored(_labels(at_level, level, trees), "forest")
-        sizes = labels.groupBy("region").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
-        sizes = stored(sizes, "regions")
-        few = labels.join(sizes.filter(F.col("size") <= CROWD).select("region"), "region")
-        found.append(_pairs_in_runs(few.repartition("region").sortWithinPartitions("region", "id"), CROWD - 1))
-        crowded = sizes.filter(F.col("size") > CROWD)
-        if crowded.isEmpty():
-            break
-        there = labels.join(crowded.select("region", "first"), "region")
-        if level + 1 < len(DEPTHS):
-            at_level = keep_ids(classes, there.select("id"), "id")
-        else:
-            there = stored(there, "crowd")
-            crowd = there.select("region", "id")
-            found.append(there.select(F.col("first").alias("a"), F.col("id").alias("b")))
-            ordered = there.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
-            found.append(_pairs_in_runs(ordered, 1))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), crowd
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def candidates(labels: DataFrame, regions: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``: classes that meet in ``regions (region, size, first)``. All pairs of parts where few classes meet; in crowded
+    ones each class with its neighbour in the order and with the first."""
+    few = labels.join(regions.filter(F.col("size") <= CROWD).select("region"), "region")
+    pairs = _pairs_in_runs(few.repartition("region").sortWithinPartitions("region", "id"), CROWD - 1)
+    there = labels.join(regions.filter(F.col("size") > CROWD).select("region", "first"), "region")
+    ordered = there.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
+    return _ordered(
+        pairs.unionByName(_pairs_in_runs(ordered, 1)).unionByName(there.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    )
+
+
+def _parted(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``classes`` with the components they are in as their parts."""
+    of = groups.select(F.col("node").alias("id"), F.col("component").alias("__part"))
+    return classes.drop("part").join(of, "id", "left").withColumn("part", F.coalesce("__part", "id")).drop("__part")
+
+
+def _outsiders(there: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``(region, id, part)``: ``(a, b)`` of regions where few classes lie outside the largest part, all pairs of parts; and
+    the regions with more of them.
+
+    Few means as many pairs as in regions that are not crowded, for each class.
+    """
+    kind = there.schema["id"].dataType.simpleString()
+    sizes = there.groupBy("region", "part").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("region").agg(
+        F.sum("n").alias("size"), F.sum(F.expr("CAST(n AS DECIMAL(38,0)) * n")).alias("squares"), F.max_by("part", F.struct("n", "part")).alias("main")
+    ).filter("size * CAST(size AS DECIMAL(38,0)) > squares")
+    shape = shape.withColumn("few", F.expr(f"size * CAST(size AS DECIMAL(38,0)) - squares <= 2 * {CROWD} * size"))
+    shape = stored(shape.select("region", "main", "few"), "shapes")
+    outside = there.join(shape.filter("few").select("region", "main"), "region").filter("part <> main")
+    outside = outside.select("region", "main", F.col("id").alias("a"), F.col("part").alias("part_a"))
+    pairs = there.join(outside, "region").filter("part <> part_a and (part = main or id < a)")
+    return pairs.select("a", F.col("id").cast(kind).alias("b")), shape.filter("not few").select("region")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -190,38 +210,62 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return stored(keep_ids(rows, ids, "id").dropDuplicates(["id"]), "texts")
 
 
-def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Confirmed pairs ``(a, b)`` of classes that join all components."""
-    pairs, crowd = candidates(classes, percent)
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Confirmed ones of the candidate ``pairs`` that join all components which the whole of them would."""
     likely = stored(_likely(pairs, classes, percent), "likely")
     if likely.isEmpty():
-        found = likely.select("a", "b")
-    else:
-        ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-        texts = _texts(ends, docs, id_col, text_col)
-        both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
-        best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
-        best = best.select("a", F.explode(F.array("x", "y")).alias("b"))
-        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sure = stored(_confirmed(best, texts, width, percent), "links")
-        groups = components(sure)
-        apart = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        for end in "ab":
-            of = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-            apart = apart.join(of, end, "left")
-        apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        found = sure.unionByName(stored(_confirmed(apart, texts, width, percent), "links"))
-    return found if crowd is None else _crowd_links(crowd, found, docs, id_col, text_col, width, percent)
-
-
-def _crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs ``found``, and all that join further classes of the same crowd."""
-    groups = components(found)
-    parts = crowd.join(groups, crowd.id == groups.node, "left").select("region", "id", F.coalesce("component", "id").alias("part"))
-    apart = parts.groupBy("region").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("region")
-    members = stored(parts.join(apart, "region").select("id", "part").distinct(), "members")
-    if members.isEmpty():
-        return found
+        return likely.select("a", "b")
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    texts = _texts(ends, docs, id_col, text_col)
+    both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
+    best = _ordered(best.select("a", F.explode(F.array("x", "y")).alias("b")))
+    sure = stored(_confirmed(best, texts, width, percent), "links")
+    groups = components(sure)
+    apart = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for end in "ab":
+        of = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        apart = apart.join(of, end, "left")
+    apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return sure.unionByName(stored(_confirmed(apart, texts, width, percent), "links"))
+
+
+def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``(node, component)`` of all ``classes (id, n, signature)`` that are linked to others."""
+    source = docs, id_col, text_col, width, percent
+    groups, at_level = None, classes.withColumn("part", F.col("id"))
+
+    def join(pairs: DataFrame) -> DataFrame:
+        new = _linked(pairs, classes, *source)
+        known = new if groups is None else new.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return components(known)
+
+    for level, depth in enumerate(DEPTHS):
+        labels = stored(_labels(at_level, level, copies_needed(percent / 100, depth, MISS)), "forest")
+        regions = labels.groupBy("region").agg(
+            F.count("*").alias("size"), F.min("id").alias("first"), F.min("part").alias("x"), F.max("part").alias("y")
+        )
+        regions = stored(regions.filter("x <> y").select("region", "size", "first"), "regions")
+        groups = join(candidates(labels, regions))
+        crowded = regions.filter(F.col("size") > CROWD).select("region")
+        if crowded.isEmpty():
+            return groups
+        there = labels.join(crowded, "region").select("region", "id")
+        members = stored(_parted(there.select("id").distinct(), groups), "members")
+        there = stored(there.join(members, "id").select("region", "id", "part"), "crowd")
+        outsiders, many = _outsiders(there)
+        groups = join(_ordered(outsiders))
+        ids = there.join(many, "region").select("id").distinct()
+        at_level = stored(_parted(keep_ids(classes, ids, "id"), groups), "descend")
+        if at_level.isEmpty():
+            return groups
+    return _crowd_groups(at_level.select("id", "part"), groups, *source)
+
+
+def _crowd_groups(
+    members: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
+) -> DataFrame:
+    """``groups``, and all that join further classes among the ``members (id, part)``."""
     texts = _texts(members.select("id"), docs, id_col, text_col)
     kinds = texts.schema["id"].dataType.simpleString(), members.schema["part"].dataType.simpleString()
 
@@ -230,7 +274,8 @@ def _crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, id_col: st
 
     there = map_rows(texts.join(members, "id"), ["id", "part", "text"], sets, f"id {kinds[0]}, part {kinds[1]}, hashes binary")
     more = stored(close_pairs(stored(there, "sets"), percent), "close")
-    return found.unionByName(stored(_confirmed(more, texts, width, percent), "links"))
+    new = stored(_confirmed(more, texts, width, percent), "links")
+    return components(new.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(
@@ -249,7 +294,7 @@ def near_duplicates(
     known = rows.filter("id is not null and n > 0")
     classes = known.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
-    groups = components(links(classes.select("id", "n", "signature"), docs, id_col, text_col, width, percent))
+    groups = grouped(classes.select("id", "n", "signature"), docs, id_col, text_col, width, percent)
     named = classes.select("print", "id").join(groups, classes.id == groups.node, "left")
     named = named.select("print", F.coalesce("component", "id").alias("component_id"))
     result = rows.select("id", "n", "print").join(named, "print", "left")
