@@ -202,7 +202,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     kind = texts.schema["id"].dataType.simpleString()
     side = {s: texts.select(F.col("id").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab"}
-    return map_rows(pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b"), ["a", "b", "t_a", "t_b"], confirm, f"a {kind}, b {kind}")
+    # Few bytes but much work: dealt out evenly, in a number of partitions that stays.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("a", "b").repartition(parts, "a", "b").sortWithinPartitions("a", "b")
+    return map_rows(dealt.join(side["a"], "a").join(side["b"], "b"), ["a", "b", "t_a", "t_b"], confirm, f"a {kind}, b {kind}")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -210,9 +213,8 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return stored(keep_ids(rows, ids, "id").dropDuplicates(["id"]), "texts")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Confirmed ones of the candidate ``pairs`` that join all components which the whole of them would."""
-    likely = stored(_likely(pairs, classes, percent), "likely")
+def _linked(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Confirmed ones of the ``likely`` pairs that join all components which the whole of them would."""
     if likely.isEmpty():
         return likely.select("a", "b")
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
@@ -234,9 +236,14 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
     """``(node, component)`` of all ``classes (id, n, signature)`` that are linked to others."""
     source = docs, id_col, text_col, width, percent
     groups, at_level = None, classes.withColumn("part", F.col("id"))
+    settled: list[DataFrame] = []
 
     def join(pairs: DataFrame) -> DataFrame:
-        new = _linked(pairs, classes, *source)
+        for known in settled:  # linked, too far apart, or in one component: not looked at again on other levels
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        likely = stored(_likely(pairs, classes, percent), "likely")
+        settled.append(likely.select("a", "b"))
+        new = _linked(likely, *source)
         known = new if groups is None else new.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return components(known)
 
