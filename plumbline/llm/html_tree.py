@@ -7,23 +7,26 @@ Inline markup only adds to the text of its stretch.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)"
-    r"|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>"
+    r"|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is not text of the page.
-HIDDEN = frozenset("script style head title noscript template iframe object svg math canvas textarea select datalist audio video".split())
+HIDDEN = frozenset("script style head title noscript template iframe object svg canvas textarea select datalist audio video".split())
 _RAW = frozenset("script style title noscript template iframe textarea".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle "
+    "semantics mpadded mphantom merror menclose".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that end where one of these starts.
@@ -64,6 +67,8 @@ def read(html: str) -> list[Node]:
     """The nodes in page order, parents before their children; the root comes first."""
     nodes = [Node(-1, "root")]
     open_nodes, leaf, links, hidden = [0], -1, 0, 0
+    # How many elements of a name are open: an end without a start looks for none.
+    open_names: Counter[str] = Counter()
     at, end = 0, len(html)
 
     def add_text(start: int, stop: int) -> None:
@@ -87,6 +92,7 @@ def read(html: str) -> list[Node]:
         leaf, links = -1, 0
         for gone in open_nodes[place:]:
             hidden -= nodes[gone].tag in HIDDEN
+            open_names[nodes[gone].tag] -= 1
         del open_nodes[place:]
 
     for found in _TAG.finditer(html):
@@ -105,16 +111,14 @@ def read(html: str) -> list[Node]:
                 nodes[leaf].pieces.append(" ")
             continue
         if closing:
-            for place in range(len(open_nodes) - 1, 0, -1):
-                if nodes[open_nodes[place]].tag == name:
-                    close(place)
-                    break
+            if open_names[name] > 0:
+                close(next(p for p in range(len(open_nodes) - 1, 0, -1) if nodes[open_nodes[p]].tag == name))
             else:
                 leaf, links = -1, 0
             continue
         if nodes[open_nodes[-1]].tag == "p":
             close(len(open_nodes) - 1)
-        if name in _ENDS:
+        if any(open_names[tag] > 0 for tag in _ENDS.get(name, ())):
             for place in range(len(open_nodes) - 1, 0, -1):
                 tag = nodes[open_nodes[place]].tag
                 if tag in _ENDS[name]:
@@ -123,7 +127,7 @@ def read(html: str) -> list[Node]:
                 if tag in _WALLS.get(name, ()):
                     break
         leaf, links = -1, 0
-        if name == "body" and "head" in (nodes[i].tag for i in open_nodes):
+        if name == "body" and open_names["head"] > 0:
             close(next(k for k, i in enumerate(open_nodes) if nodes[i].tag == "head"))
         tokens, label = _attributes(found.group(3) or found.group(6) or "")
         if name in VOID:
@@ -134,6 +138,7 @@ def read(html: str) -> list[Node]:
             continue
         nodes.append(Node(open_nodes[-1], name, tokens, label))
         open_nodes.append(len(nodes) - 1)
+        open_names[name] += 1
         hidden += name in HIDDEN
     add_text(at, end)
     for node in nodes:
