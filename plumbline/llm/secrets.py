@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ CONTEXT = re.compile(
 )
 #: Values from this many decimal digits of guesses on are secrets.
 HARD = 10.0
-#: Longest span of one kind in a segmentation.
+#: Repeats and walks of any length count. Those longer than this start and end within so many places of where they could.
 SPAN = 64
 
 #: Words that attackers try first, commonest first.
@@ -50,12 +53,12 @@ _RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
 _LONGEST_WORD = max(map(len, WORDS))
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:[12]\d|3[01]|0?[1-9])"
+#: Dates with the year first, or last after day and month or month and day; with the shortest and longest they can be.
 _DATE = re.compile(
-    r"(?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:[12]\d|3[01]|0?[1-9])"
-    r"|(?:[12]\d|3[01]|0?[1-9])[-/._](?:1[0-2]|0?[1-9])[-/._](?:(?:19|20)\d\d|\d\d)"
-    r"|(?:19|20)\d\d",
-    re.ASCII,
+    rf"{_YEAR}[-/._]?{_MONTH}[-/._]?{_DAY}|(?:{_DAY}([-/._]){_MONTH}|{_MONTH}([-/._]){_DAY})[-/._](?:{_YEAR}|\d\d)|{_YEAR}", re.ASCII
 )
+_DATE_LENGTHS = range(4, 11)
 
 
 def _neighbours() -> dict[str, str]:
@@ -70,34 +73,81 @@ def _neighbours() -> dict[str, str]:
 _NEAR = _neighbours()
 
 
+def _step(a: str, b: str) -> tuple | None:
+    """How a walk goes from one key to the next; None if it doesn't."""
+    if b in _NEAR.get(a, ""):
+        return ("key",)
+    along = ord(b) - ord(a)
+    return ("order", along) if along in (1, -1) and a.isalnum() and b.isalnum() else None
+
+
+class _Stretch:
+    """A place from which a repeat or walk goes on for more than ``SPAN`` places, up to ``last``; ``turns`` before each step."""
+
+    def __init__(self, text: str, first: int, step) -> None:
+        self.first, self.turns, at, before = first, [0, 0], first + 1, None
+        while at < len(text) and (now := step(text, at)) is not None:
+            self.turns.append(self.turns[-1] + (before is not None and now != before))
+            before, at = now, at + 1
+        self.last = at
+
+    def ends(self, start: int, unit: int) -> Iterator[tuple[int, int]]:
+        """``(end, turns)`` of spans over ``SPAN`` places from ``start`` on, both ends within ``SPAN`` of the stretch's."""
+        if start - self.first < SPAN:
+            least = max(start + SPAN + 1, self.last - SPAN)
+            for end in range(self.last - (self.last - start) % unit, least - 1, -unit):
+                yield end, self.turns[end - self.first] - self.turns[start - self.first + 2]
+
+
+def _repeat_cost(length: int, unit: int) -> float:
+    return 0.3 + unit + math.log10(length // unit)
+
+
+def _walk_cost(length: int, turns: int) -> float:
+    return 1.8 + math.log10(length) + 0.6 * turns
+
+
 def guess_cost(value: str, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """Decimal digits of the guesses for ``value``, and the segments ``(kind, start, end)`` of the cheapest way.
 
     Each segment costs the logarithm of its own guesses plus a little for its place in the row.
     Words: rank, doubled for capitals and for digits that stand for letters. Dates: days of about
-    a century. Repeats: the unit's brute force times the count. Walks: a start key, then turns.
-    Everything else: ten guesses a character. No segment but brute force is longer than ``SPAN``.
+    a century, in every reading. Repeats: the unit's brute force times the count. Walks: a start key, then turns.
+    Everything else: ten guesses a character.
 
-    Once every way through the last ``SPAN`` places costs ``enough`` or more, so does the whole value: it is then
-    rated, and divided, up to there only.
+    A value of which no beginning can go on at less than ``enough`` costs that much: it is then rated, and divided, up
+    to there only.
     """
     n, joint = len(value), 0.3
     lower = value.lower()
     if len(lower) != n:  # a few letters grow in lower case
         lower = value
     plain = lower.translate(_LEET)
+    stretches: dict[int, _Stretch] = {}
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
+    far = 0
 
     def offer(kind: str, start: int, end: int, cost: float) -> None:
+        nonlocal far
         if best[start] + cost < best[end]:
             best[end], back[end] = best[start] + cost, (kind, start)
+            if best[end] < enough and end > far:
+                far = end
+
+    def stretch(start: int, unit: int) -> _Stretch:
+        """Of repeats of ``unit``, or with 0 of walks. Starts come in order, so the first one seen is a stretch's first."""
+        known = stretches.get(unit)
+        if known is None or start >= known.last:
+            if unit:
+                known = _Stretch(value, start, lambda text, at: True if at < start + unit or text[at] == text[at - unit] else None)
+            else:
+                known = _Stretch(lower, start, lambda text, at: _step(text[at - 1], text[at]))
+            stretches[unit] = known
+        return known
 
-    low = 0
     for i in range(n):
-        if best[i] < enough:
-            low = i
-        elif i - low >= SPAN:
+        if i > far:
             n = i
             break
         offer("brute", i, i + 1, 1.0)
@@ -106,29 +156,28 @@ def guess_cost(value: str, enough: float = math.inf) -> tuple[float, list[tuple[
             if rank is not None:
                 changed = (value[i:end] != lower[i:end]) + (plain[i:end] != lower[i:end])
                 offer("word", i, end, joint + rank + changed * math.log10(2))
-        if (found := _DATE.match(value, i)) is not None:
-            offer("date", i, found.end(), joint + (2.0 if found.end() - i == 4 else 4.6))
+        if value[i].isdigit():
+            for length in _DATE_LENGTHS:
+                if i + length <= n and _DATE.fullmatch(value, i, i + length):
+                    offer("date", i, i + length, joint + (2.0 if length == 4 else 4.6))
         for unit in (1, 2, 3, 4):
             end = i + unit
             while end < min(n, i + SPAN) and value[end] == value[end - unit]:
                 end += 1
                 if (end - i) % unit == 0 and end - i >= max(3, 2 * unit):
-                    offer("repeat", i, end, joint + unit + math.log10((end - i) // unit))
-        turns, end, step = 0, i + 1, None
-        while end < min(n, i + SPAN):
-            a, b = lower[end - 1], lower[end]
-            along = ord(b) - ord(a)
-            if b in _NEAR.get(a, ""):
-                now = ("key", _NEAR[a].index(b) if _NEAR[a] else 0)
-            elif along in (1, -1) and a.isalnum() and b.isalnum():
-                now = ("order", along)
-            else:
-                break
-            if step is None or now[0] != step[0] or now[0] == "order" and now != step:
-                turns += 1
-            step, end = now, end + 1
+                    offer("repeat", i, end, _repeat_cost(end - i, unit))
+            if end == i + SPAN < n and value[end] == value[end - unit]:
+                for far_end, _ in stretch(i, unit).ends(i, unit):
+                    offer("repeat", i, far_end, _repeat_cost(far_end - i, unit))
+        turns, end, before = 1, i + 1, None
+        while end < min(n, i + SPAN) and (now := _step(lower[end - 1], lower[end])) is not None:
+            turns += before is not None and now != before
+            before, end = now, end + 1
             if end - i >= 3:
-                offer("walk", i, end, joint + 1.5 + math.log10(end - i) + 0.6 * turns)
+                offer("walk", i, end, _walk_cost(end - i, turns))
+        if end == i + SPAN < n and _step(lower[end - 1], lower[end]) is not None:
+            for far_end, more in stretch(i, 0).ends(i, 1):
+                offer("walk", i, far_end, _walk_cost(far_end - i, 1 + more))
     segments, at = [], n
     while at:
         kind, start = back[at]
@@ -146,9 +195,11 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((start, end) for _, start, end in spans)
+    starts, reach = [start for start, _ in base], [-1, *accumulate((end for _, end in base), max)]
     for m in CONTEXT.finditer(text):
         start, end = m.span(m.lastindex)
-        if not any(a <= start and end <= b for a, b in base) and guess_cost(m.group(m.lastindex), HARD)[0] >= HARD:
+        # No base span that starts before reaches as far.
+        if reach[bisect_right(starts, start)] < end and guess_cost(m.group(m.lastindex), HARD)[0] >= HARD:
             spans.append(("guess", start, end))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

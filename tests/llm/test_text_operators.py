@@ -1,15 +1,17 @@
 """Operators that look at one row at a time, against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import types as T
 
-from plumbline.llm import bpe, chat, page_text, quality, registry, repetition, secrets
+from plumbline.llm import bpe, chat, html_tree, page_text, quality, registry, repetition, secrets
 
 DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("tokens", T.StringType()), T.StructField("rank", T.IntegerType())]
@@ -225,4 +227,65 @@ def test_long_quoted_credentials():
     for _ in range(300):
         value = "".join(r.choice(("password", "aaaaaaaaaaaa", "2001", "qwerty", "abcdef", "x", "7#")) for _ in range(r.randint(1, 30)))
         assert (secrets.guess_cost(value, secrets.HARD)[0] >= secrets.HARD) == (secrets.guess_cost(value)[0] >= secrets.HARD)
-    assert secrets.guess_cost("a" * 10**6, secrets.HARD)[0] >= secrets.HARD
+    for filler in ("a" * 10**5, "x" * 1000, "ab" * 500, "qwerty" * 1, "abcdefgh" * 1, "0123456789" * 1, "x" * 200 + "1999", "password" + "z" * 300):
+        assert secrets.guess_cost(filler, secrets.HARD)[0] < secrets.HARD
+        assert not [k for k, _, _ in secrets.spans_of(f'pwd="{filler}"') if k == "guess"]
+
+
+def slow_cost(value):
+    """The least cost over all segmentations into segments of every kind, each looked at by itself."""
+    from functools import cache
+
+    def segment(a, b):
+        text, n = value[a:b], b - a
+        costs = [float(n)]
+        plain = text.lower().translate(secrets._LEET)
+        if plain in secrets._RANK:
+            changed = (text != text.lower()) + (plain != text.lower())
+            costs.append(0.3 + secrets._RANK[plain] + changed * math.log10(2))
+        if secrets._DATE.fullmatch(text) and text[0].isdigit():
+            costs.append(0.3 + (2.0 if n == 4 else 4.6))
+        for unit in (1, 2, 3, 4):
+            if n % unit == 0 and n >= max(3, 2 * unit) and text == text[:unit] * (n // unit):
+                costs.append(0.3 + unit + math.log10(n // unit))
+        steps = [secrets._step(x, y) for x, y in zip(text.lower(), text.lower()[1:])]
+        if n >= 3 and None not in steps:
+            costs.append(1.8 + math.log10(n) + 0.6 * (1 + sum(x != y for x, y in zip(steps, steps[1:]))))
+        return min(costs)
+
+    @cache
+    def best(b):
+        return 0.0 if b == 0 else min(best(a) + segment(a, b) for a in range(b))
+
+    return best(len(value))
+
+
+def test_guess_cost_equals_enumeration(monkeypatch):
+    r = random.Random(11)
+    pieces = ["password", "P4ssword", "aaaa", "abab", "2001", "12/31/1999", "31.12.99", "19991231", "qwerty", "abcdef", "x", "7#", "zz", "love", "dcba"]
+    for span in (64, 8):
+        monkeypatch.setattr(secrets, "SPAN", span)
+        for _ in range(150):
+            value = "".join(r.choice(pieces) for _ in range(r.randint(1, 6)))[:30]
+            assert abs(secrets.guess_cost(value)[0] - slow_cost(value)) < 1e-9, value
+    monkeypatch.setattr(secrets, "SPAN", 6)
+    for value in ("x" * 25 + "1999", "7#" + "ab" * 12 + "dmin", "qwertyuiop" * 2 + "x", "a" * 9 + "password" + "z" * 9):
+        assert abs(secrets.guess_cost(value)[0] - slow_cost(value)) < 1e-9
+
+
+def test_many_credentials_in_one_text():
+    text = "token=abcdefgh12\n" * 100_000
+    start = time.perf_counter()
+    assert len(secrets.spans_of(text)) == 100_000
+    assert time.perf_counter() - start < 10
+
+
+def test_long_attributes_and_unmatched_ends():
+    long = "x>y" * 40_000
+    html = f'<body><article><p data-json="{long}">one two three four five six seven.</p></article></body>'
+    assert long[:50] not in " ".join(n.text for n in html_tree.read(html)) and "seven" in " ".join(n.text for n in html_tree.read(html))
+    start = time.perf_counter()
+    html_tree.read("<div>" * 30_000 + "</section>" * 30_000 + "<li>a" * 2000)
+    assert time.perf_counter() - start < 5
+    said = [n.text for n in html_tree.read("<p>the area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") if n.text]
+    assert said == ["the area x=2 holds"]
