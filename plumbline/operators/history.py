@@ -44,19 +44,48 @@ RUN_REPORT = T.StructType(
 RUNS_KEPT = 50
 
 
+# Runs are kept by month (days would be many small files), in UTC whatever the session's time zone, so that months follow
+# each other as runs do.
+_MONTH = "trunc(date_from_unix_date(CAST(floor(unix_micros(run_time) / 86400000000) AS INT)), 'MM')"
+
+
 def append_runs(reports: DataFrame, path: str) -> None:
-    """Add runs to the history table."""
-    reports.select([f.name for f in RUN_REPORT.fields]).write.mode("append").parquet(path)
+    """Add runs to the history table, each to the part of its month. A late run goes where its time belongs."""
+    rows = reports.select(*[f.name for f in RUN_REPORT.fields], F.expr(_MONTH).alias("run_month"))
+    rows.write.mode("append").partitionBy("run_month").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The whole history; no runs before the first. The schema is given, so no file is opened to infer it."""
-    return started(spark, lambda: spark.read.schema(RUN_REPORT).parquet(path), RUN_REPORT)
+    return _by_month(spark, path).drop("run_month")
+
+
+def newest_runs(spark: SparkSession, path: str, n: int = RUNS_KEPT) -> DataFrame:
+    """The newest runs of a history, newest first, as :func:`latest_runs` picks them.
+
+    Opens only the months that hold them: how many runs a month has is known from the files' footers, and
+    the driver sees one number for each month. Runs without a time come last.
+    """
+    runs = _by_month(spark, path)
+    left, since = n, None
+    for month, count in runs.groupBy("run_month").count().orderBy(F.col("run_month").desc_nulls_last()).collect():
+        since, left = month, left - count
+        if left <= 0:
+            break
+    # All months are needed where they do not hold enough runs, or only with those runs that have none.
+    chosen = runs if since is None else runs.filter(F.col("run_month") >= F.lit(since))
+    return latest_runs(chosen.drop("run_month"), n)
+
+
+def _by_month(spark: SparkSession, path: str) -> DataFrame:
+    kept = T.StructType([*RUN_REPORT.fields, T.StructField("run_month", T.DateType())])
+    return started(spark, lambda: spark.read.schema(kept).parquet(path), kept)
 
 
 def clear_runs(spark: SparkSession, path: str) -> None:
     """Empty the history."""
-    spark.createDataFrame([], RUN_REPORT).write.mode("overwrite").parquet(path)
+    kept = _by_month(spark, path).schema
+    spark.createDataFrame([], kept).write.mode("overwrite").partitionBy("run_month").parquet(path)
 
 
 def latest_runs(runs: DataFrame, n: int = RUNS_KEPT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import positional, resolve_column
@@ -90,6 +90,42 @@ def _bound(df: DataFrame, rules: Sequence[Rule]) -> list[Check]:
     return bind_all(rules, df.schema, df.sparkSession)
 
 
+def validate_observed(
+    df: DataFrame, rules: Sequence[Rule], path: str, mode: str = "errorifexists", measures_per_scan: int = MEASURES_PER_SCAN
+) -> DataFrame:
+    """Write ``df`` to ``path`` as Parquet, and return what :func:`validate` says of it.
+
+    Rules on values and counts are settled by metrics that the write itself collects: the source is computed once,
+    and nothing is read for them. Means and uniqueness need groups; they are read back, their columns alone, from what has been written.
+    Rows that ``mode="append"`` finds in place already are no part of the verdict, so suites with such rules cannot be appended.
+    """
+    checks = _bound(df, rules)
+    open_ = [c for c in checks if not c.settled]
+    plain = [c for c in open_ if not c.by_value and not c.by_sum]
+    if mode == "append" and len(plain) < len(open_):
+        raise ValueError("means and uniqueness of appended rows cannot be told from those that are there")
+    flat, watched = positional(df), []
+    for chunk in chunks(plain, measures_per_scan):
+        measures = Measures()
+        structs = [c.row(measures) for c in chunk]
+        seen = Observation()
+        flat = flat.observe(seen, *measures.columns)
+        watched.append((seen, structs))
+    flat.toDF(*df.columns).write.mode(mode).parquet(path)
+    rows = [c.row(Measures()) for c in checks if c.settled]
+    parts = [(_as_row(df.sparkSession, seen.get), structs) for seen, structs in watched]
+    if rows:
+        parts.append((df.sparkSession.range(0, 1, 1, 1), rows))
+    if grouped := [c for c in open_ if c.by_value or c.by_sum]:
+        written = df.sparkSession.read.schema(df.schema).parquet(path)
+        parts.append((_evaluate(written, grouped, DEFAULT_COLUMNS_PER_SCAN, measures_per_scan), []))
+    return in_order([unpack(row, structs) if structs else row for row, structs in parts], "pos")
+
+
+def _as_row(spark: SparkSession, metrics: Mapping[str, int]) -> DataFrame:
+    return spark.range(0, 1, 1, 1).select(*[F.lit(value).cast("bigint").alias(name) for name, value in metrics.items()])
+
+
 def _evaluate(df: DataFrame, checks: Sequence[Check], columns_per_scan: int | None, measures_per_scan: int) -> DataFrame:
     flat = positional(df)
     parts: list[tuple[DataFrame, list[str]]] = []

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,14 @@ class Measures:
         """The name of the column that will hold the aggregate."""
         return self._names.setdefault(aggregate, f"m{len(self._names)}")
 
+    @property
+    def columns(self) -> list[Column]:
+        """The requested aggregates."""
+        return [F.expr(f"{sql} AS {name}") for sql, name in self._names.items()]
+
     def over(self, df: DataFrame) -> DataFrame:
         """The one-row DataFrame with every requested aggregate."""
-        return df.agg(*[F.expr(f"{sql} AS {name}") for sql, name in self._names.items()])
+        return df.agg(*self.columns)
 
 
 def struct_sql(fields: Mapping[str, str]) -> str:

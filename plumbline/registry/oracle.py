@@ -30,6 +30,13 @@ ORACLE_SQL["scan_parquet"] = "SELECT * FROM lineitem"
 ORACLE_SQL["scan_json"] = """
     SELECT event_id, event_type, props, CAST(ts AS VARCHAR) AS ts, user_id, value FROM events
 """
+_TABLES = (
+    "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
+).split()
+ORACLE_SQL["file_inventory"] = " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS name, 'parquet' AS ext, TRUE AS has_size, {t == 'orders'} AS active, CAST(NULL AS VARCHAR) AS bucket"
+    for t in _TABLES
+)
 ORACLE_SQL["sql_source"] = """
     SELECT c_mktsegment, o_orderstatus, count(*) AS orders,
            min(o_totalprice) AS lowest, max(o_totalprice) AS highest
@@ -367,7 +374,7 @@ ORACLE_SQL["validate_lineitem"] = _with_status(
         "SELECT * FROM lineitem",
     )
 )
-ORACLE_SQL["stream_validate"] = ORACLE_SQL["validate_lineitem"]
+ORACLE_SQL["validate_observed"] = ORACLE_SQL["stream_validate"] = ORACLE_SQL["validate_lineitem"]
 ORACLE_SQL["validate_documents"] = _with_status(
     _rules(
         f"count(*) AS n, {_repeated('doc_id')} AS id, {_repeated('text')} AS tx, "
@@ -570,6 +577,7 @@ _ENTRIES = """
            '2024-01-01 08:00:00.250' AS created_at, '2024-01-02 09:30:00.000' AS updated_at
     FROM part
 """
+ORACLE_SQL["history_newest"] = ORACLE_SQL["history_latest"]
 ORACLE_SQL["catalog_rows"] = f"SELECT * EXCLUDE (p_partkey, p_size) FROM ({_ENTRIES}) e"
 ORACLE_SQL["catalog_search"] = f"""
     SELECT name, alias, owner, description FROM ({_ENTRIES}) e

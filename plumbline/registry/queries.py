@@ -53,9 +53,9 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_inventory(spark, sf_dir, active=f"{sf_dir}/orders.parquet").select(
-        "name", "ext", "size_kb", "active"
-    )
+    # Sizes are not known to SQL, only that there is one.
+    listed = file_inventory(spark, sf_dir, active=f"{sf_dir}/orders.parquet")
+    return listed.select("name", "ext", (F.col("size_kb") > 0).alias("has_size"), "active", "bucket")
 
 
 @query
@@ -271,6 +271,11 @@ def validate_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(table(spark, sf_dir, "lineitem"), _lineitem_rules())
 
 
+@query
+def validate_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate_observed(table(spark, sf_dir, "lineitem"), _lineitem_rules(), scratch_path(spark, "lineitem.parquet"))
+
+
 @query
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The table as a folder of files that a stream takes two at a time.
@@ -427,6 +432,16 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("run_id", "suite_name", "source_label", "summary.*")
 
 
+@query
+def history_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, runs = scratch_path(spark, "runs"), run_reports(spark, sf_dir)
+    # The newest half of the year comes first, then all that is older.
+    recent = F.month("run_time") > 6
+    for part in (runs.filter(recent), runs.filter(~recent)):
+        history.append_runs(part.coalesce(8), path)
+    return history.newest_runs(spark, path).select("run_id", "suite_name", "source_label", "summary.*")
+
+
 # -- catalog ------------------------------------------------------------------
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 EXTENSIONS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
 
 
+# Fixed value: schemes of object stores, whose paths are a bucket and a key.
+OBJECT_PATH = "^(?:s3a?n?|gs|wasbs?|abfss?|oss|cosn?)://([^/]+)/(.+)$"
+
+
 def format_of(path: str) -> str:
     """Reader for a path, by its extension in any case; what follows a ``?`` is
     not part of the name."""
@@ -54,6 +58,7 @@ def file_inventory(
     ``name`` is relative to ``root``, ``active`` marks the dataset with that path. A folder
     dataset (``orders.parquet/part-0.parquet``) is one entry of the size of all its files. With
     ``recursive=True``, as for an object store, every file below ``root`` is an entry instead.
+    ``bucket`` and ``key`` are the parts of an object store's path (``s3a://bucket/key``); NULL for files.
     Only the listing is used: file contents are not read, and ``k=v`` folders mean nothing. Spark
     lists no names that begin with ``_`` or ``.``.
     """
@@ -76,6 +81,7 @@ def file_inventory(
             "path",
             F.substr(ext, F.lit(2)).alias("ext"),
             F.bround(F.col("length") / F.lit(1024.0), 1).alias("size_kb"),
+            *[F.nullif(F.regexp_extract("path", OBJECT_PATH, i + 1), F.lit("")).alias(c) for i, c in enumerate(("bucket", "key"))],
             (F.col("path") == F.lit(_plain(active) if active else None)).alias("active"),
         )
         .filter(F.col("ext").isin([e[1:] for e in EXTENSIONS]))
