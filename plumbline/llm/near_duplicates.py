@@ -21,6 +21,7 @@ still lies between different components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -213,12 +214,10 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return stored(keep_ids(rows, ids, "id").dropDuplicates(["id"]), "texts")
 
 
-def _linked(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _linked(likely: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed ones of the ``likely`` pairs that join all components which the whole of them would."""
     if likely.isEmpty():
         return likely.select("a", "b")
-    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    texts = _texts(ends, docs, id_col, text_col)
     both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
     best = _ordered(best.select("a", F.explode(F.array("x", "y")).alias("b")))
@@ -234,18 +233,22 @@ def _linked(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
 
 def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """``(node, component)`` of all ``classes (id, n, signature)`` that are linked to others."""
-    source = docs, id_col, text_col, width, percent
-    groups, at_level = None, classes.withColumn("part", F.col("id"))
+    groups, at_level, texts = None, classes.withColumn("part", F.col("id")), None
     settled: list[DataFrame] = []
 
-    def join(pairs: DataFrame) -> DataFrame:
-        for known in settled:  # linked, too far apart, or in one component: not looked at again on other levels
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        likely = stored(_likely(pairs, classes, percent), "likely")
-        settled.append(likely.select("a", "b"))
-        new = _linked(likely, *source)
-        known = new if groups is None else new.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return components(known)
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        # Linked, too far apart, or in one component: not looked at again on other levels.
+        if settled:
+            pairs = pairs.join(reduce(DataFrame.unionByName, settled), ["a", "b"], "left_anti")
+        found = stored(_likely(pairs, classes, percent), "likely")
+        settled.append(found.select("a", "b"))
+        return found
+
+    def joined(likely: DataFrame) -> DataFrame:
+        new = _linked(likely, texts, width, percent)
+        if groups is None:
+            return components(new)
+        return groups if new.isEmpty() else components(new.unionByName(groups.toDF("a", "b")))
 
     for level, depth in enumerate(DEPTHS):
         labels = stored(_labels(at_level, level, copies_needed(percent / 100, depth, MISS)), "forest")
@@ -253,27 +256,28 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
             F.count("*").alias("size"), F.min("id").alias("first"), F.min("part").alias("x"), F.max("part").alias("y")
         )
         regions = stored(regions.filter("x <> y").select("region", "size", "first"), "regions")
-        groups = join(candidates(labels, regions))
+        likely = likely_of(candidates(labels, regions))
         crowded = regions.filter(F.col("size") > CROWD).select("region")
+        there = labels.join(crowded, "region").select("region", "id")
+        if texts is None:  # of all that may ever be confirmed: later candidates are members of these regions
+            ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+            texts = _texts(ends.unionByName(there.select("id")), docs, id_col, text_col)
+        groups = joined(likely)
         if crowded.isEmpty():
             return groups
-        there = labels.join(crowded, "region").select("region", "id")
         members = stored(_parted(there.select("id").distinct(), groups), "members")
         there = stored(there.join(members, "id").select("region", "id", "part"), "crowd")
         outsiders, many = _outsiders(there)
-        groups = join(_ordered(outsiders))
+        groups = joined(likely_of(_ordered(outsiders)))
         ids = there.join(many, "region").select("id").distinct()
         at_level = stored(_parted(keep_ids(classes, ids, "id"), groups), "descend")
         if at_level.isEmpty():
             return groups
-    return _crowd_groups(at_level.select("id", "part"), groups, *source)
+    return _crowd_groups(at_level.select("id", "part"), groups, texts, width, percent)
 
 
-def _crowd_groups(
-    members: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
-) -> DataFrame:
+def _crowd_groups(members: DataFrame, groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``groups``, and all that join further classes among the ``members (id, part)``."""
-    texts = _texts(members.select("id"), docs, id_col, text_col)
     kinds = texts.schema["id"].dataType.simpleString(), members.schema["part"].dataType.simpleString()
 
     def sets(ids, parts, texts):
@@ -282,7 +286,7 @@ def _crowd_groups(
     there = map_rows(texts.join(members, "id"), ["id", "part", "text"], sets, f"id {kinds[0]}, part {kinds[1]}, hashes binary")
     more = stored(close_pairs(stored(there, "sets"), percent), "close")
     new = stored(_confirmed(more, texts, width, percent), "links")
-    return components(new.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return components(new.unionByName(groups.toDF("a", "b")))
 
 
 def near_duplicates(
