@@ -245,9 +245,10 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
         return found
 
     def joined(likely: DataFrame) -> DataFrame:
-        new = _linked(likely, texts, width, percent)
         if groups is None:
-            return components(new)
+            return components(_linked(likely, texts, width, percent))
+        # These are pairs of different components already: most are no links, and none makes the others needless.
+        new = stored(_confirmed(likely, texts, width, percent), "links")
         return groups if new.isEmpty() else components(new.unionByName(groups.toDF("a", "b")))
 
     for level, depth in enumerate(DEPTHS):
