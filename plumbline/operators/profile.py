@@ -181,7 +181,7 @@ def _nulls(column: str) -> str:
 
 def _without_counts(df: DataFrame, positions: Sequence[int], estimate: bool) -> DataFrame:
     """Statistics of columns whose distinct values are not counted exactly."""
-    found = profile_from_states(profile_state(df, positions))
+    found = profile_from_states(profile_state(df, positions, quantiles=False))
     return found.withColumn("unique", F.col("unique") if estimate else F.lit(None).cast("bigint")).drop("column", "type")
 
 

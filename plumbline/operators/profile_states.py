@@ -35,8 +35,8 @@ _SKETCH = 14
 _COLUMNS_PER_AGGREGATE = 16
 
 
-def profile_state(df: DataFrame, columns: Sequence[int] | None = None) -> DataFrame:
-    """The state of ``df``, one row per column (schema ``PROFILE_STATE``), by default of all columns.
+def profile_state(df: DataFrame, columns: Sequence[int] | None = None, quantiles: bool = True) -> DataFrame:
+    """The state of ``df``, one row per column (schema ``PROFILE_STATE``), by default of all columns. Without ``quantiles``, their sketches are left out.
 
     Two scans: one for the counts and sketches, one for the sums of the numeric columns.
     """
@@ -57,7 +57,7 @@ def profile_state(df: DataFrame, columns: Sequence[int] | None = None) -> DataFr
                 "total": measures.need("count(1)"),
                 "sketch": measures.need(f"hll_sketch_agg({told_apart(c, dtype)}, {_SKETCH})") if groupable(dtype) else "CAST(NULL AS BINARY)",
                 # Quantiles are of the values that have an order among numbers.
-                "quantiles": measures.need(f"kll_sketch_agg_double(CASE WHEN NOT isnan({number}) THEN {number} END)") if numeric else "CAST(NULL AS BINARY)",
+                "quantiles": measures.need(f"kll_sketch_agg_double(CASE WHEN NOT isnan({number}) THEN {number} END)") if numeric and quantiles else "CAST(NULL AS BINARY)",
             }
             structs.append(struct_sql(of))
         parts.append(unpack(measures.over(flat), structs))
