@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     Components in MapReduce and Beyond", 2014). Nodes are joined by their own value
     and minima are combined before the shuffle, so a node with very many neighbours
     is a skewed join at worst, which adaptive execution splits. Every round is a
-    stored table; the number of rounds grows with the logarithm of the longest path.
+    stored table; the number of rounds grows with the logarithm of the longest path. One grouped pass tells
+    whether another round is needed, so a graph that is made of stars already costs none.
     Loops and NULL ends are ignored. No edges: no rows.
     """
     kind = edges.schema["a"].dataType
@@ -25,13 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
     while True:
-        after = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before or not after[0]:
-            break
-        before = after
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.sum(F.expr("CAST(v < u AS BIGINT)")).alias("below"), F.count("*").alias("edges"))
+        # Done when every node hangs from one smaller node that hangs from none.
+        if not near.filter("below > 1 or below = 1 and edges > 1").agg(F.count("*")).first()[0]:
+            break
         least = both.groupBy(F.col("u").alias("c")).agg(F.least("c", F.min("v")).alias("m"))
         large = both.join(least, both.u == least.c).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
