@@ -3,13 +3,13 @@
 Documents with equal shingle sets are one *class*, so that copies cost one grouped
 aggregation. Classes enter the trees of the forest, each a different order of the
 signature's minima, as sorted labels. Classes whose labels share a prefix, its *region*, are
-neighbours. Where a prefix is shared by few, all of its pairs are candidates. In a crowded region
-each class is first compared with its neighbour in the sorted order and with the first class of the region.
+neighbours. Where a prefix is shared by few, all of its pairs are candidates. In the largest of its crowded
+regions each class is first compared with its neighbour in the sorted order and with the first class of the region.
 
 Levels are linked one after the other. After each, classes are counted by the component they have come into, and only
 pairs between components are of any further interest: a crowd of near copies is one component by
-then and done with. Where a crowded region has few classes outside its largest component, those meet all others. Only regions of
-many components descend: their classes move to longer prefixes, of as many more trees as keep the recall at the threshold. What is
+then and done with. Where a crowded region has few classes outside its largest component, those meet all others. In regions of
+many components neighbours of different ones are compared in all trees, and their classes descend: they move to longer prefixes, of as many more trees as keep the recall at the threshold. What is
 still crowded at the last depth is paired by the full sets (``crowds``).
 
 Candidates whose signatures agree too little to be possible are dropped; the others
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.components import components
 from plumbline.llm.crowds import close_pairs
@@ -41,6 +42,8 @@ SIGNATURE = 112
 DEPTHS, MISS = (3, 6, 12), 1e-4
 #: A prefix shared by more classes than this descends.
 CROWD = 16
+#: Crowded regions, the largest ones, in which a class is compared first. What that leaves apart meets or descends.
+AT_FIRST = 2
 
 
 def _order(level: int, tree: int) -> np.ndarray:
@@ -128,10 +131,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def candidates(labels: DataFrame, regions: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``: classes that meet in ``regions (region, size, first)``. All pairs of parts where few classes meet; in crowded
-    ones each class with its neighbour in the order and with the first."""
+    ones each class with its neighbour in the order and with the first, in its ``AT_FIRST`` largest regions."""
     few = labels.join(regions.filter(F.col("size") <= CROWD).select("region"), "region")
     pairs = _pairs_in_runs(few.repartition("region").sortWithinPartitions("region", "id"), CROWD - 1)
-    there = labels.join(regions.filter(F.col("size") > CROWD).select("region", "first"), "region")
+    there = labels.join(regions.filter(F.col("size") > CROWD).select("region", "size", "first"), "region")
+    largest = Window.partitionBy("id").orderBy(F.desc("size"), "region")
+    there = there.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= AT_FIRST)
     ordered = there.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
     return _ordered(
         pairs.unionByName(_pairs_in_runs(ordered, 1)).unionByName(there.select(F.col("first").alias("a"), F.col("id").alias("b")))
@@ -145,8 +150,8 @@ def _parted(classes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _outsiders(there: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``(region, id, part)``: ``(a, b)`` of regions where few classes lie outside the largest part, all pairs of parts; and
-    the regions with more of them.
+    """Of rows ``(region, rest, id, part)``: ``(a, b)`` of regions where few classes lie outside the largest part, all pairs of parts,
+    and of the others, neighbours of different parts; and the rows of these other regions.
 
     Few means as many pairs as in regions that are not crowded, for each class.
     """
@@ -160,7 +165,9 @@ def _outsiders(there: DataFrame) -> tuple[DataFrame, DataFrame]:
     outside = there.join(shape.filter("few").select("region", "main"), "region").filter("part <> main")
     outside = outside.select("region", "main", F.col("id").alias("a"), F.col("part").alias("part_a"))
     pairs = there.join(outside, "region").filter("part <> part_a and (part = main or id < a)")
-    return pairs.select("a", F.col("id").cast(kind).alias("b")), shape.filter("not few").select("region")
+    many = there.join(shape.filter("not few").select("region"), "region")
+    ordered = many.repartitionByRange("region", "rest", "id").sortWithinPartitions("region", "rest", "id")
+    return pairs.select("a", F.col("id").cast(kind).alias("b")).unionByName(_pairs_in_runs(ordered, 1)), many
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +266,7 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
         regions = stored(regions.filter("x <> y").select("region", "size", "first"), "regions")
         likely = likely_of(candidates(labels, regions))
         crowded = regions.filter(F.col("size") > CROWD).select("region")
-        there = labels.join(crowded, "region").select("region", "id")
+        there = labels.join(crowded, "region").select("region", "rest", "id")
         if texts is None:  # of all that may ever be confirmed: later candidates are members of these regions
             ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
             texts = _texts(ends.unionByName(there.select("id")), docs, id_col, text_col)
@@ -267,10 +274,10 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
         if crowded.isEmpty():
             return groups
         members = stored(_parted(there.select("id").distinct(), groups), "members")
-        there = stored(there.join(members, "id").select("region", "id", "part"), "crowd")
+        there = stored(there.join(members, "id").select("region", "rest", "id", "part"), "crowd")
         outsiders, many = _outsiders(there)
         groups = joined(likely_of(_ordered(outsiders)))
-        ids = there.join(many, "region").select("id").distinct()
+        ids = many.select("id").distinct()
         at_level = stored(_parted(keep_ids(classes, ids, "id"), groups), "descend")
         if at_level.isEmpty():
             return groups
