@@ -7,20 +7,19 @@ into step again. Bits (here characters) of the embedding are sampled, some at a
 repeated locality-sensitive keys; windows that agree with an item on one key are verified by exact
 edit distance.
 
-Windows have the size of an item. They are placed where two neighbouring words of the document are
-neighbours in the item as well, at the longer half of its pairs, of which a copy with few edits
-keeps some; walks go from there to the
-window's end and back to its start, so that edits before the place don't shift what follows.
-
-Items of few words but many characters (a language without spaces, a formula, an address) are cut into one piece more
-than they may have edits. A copy keeps one of these unchanged, so all its windows are found, and none is walked.
+Windows have the size of an item and are placed where the document has pieces of it. An item is cut into pieces of ``PIECE``
+characters. Each edit spoils one of them at most, and what is left lies on diagonals (place in the text less place in the item) that
+differ by no more than the edits. So a copy has at least as many pieces, close together, as there are more pieces than
+edits; and of all runs of ``PIECE`` characters it keeps all but ``PIECE`` for each edit, on such diagonals. No copy is lost by these two counts. From each of
+the pieces that are left a window is walked, to its end or back to its start, whichever is longer.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -28,19 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.frames import map_rows
-from plumbline.llm.words import mixed, split_words, word_hashes
+from plumbline.llm.words import mixed, split_words
 
 #: An item is found where this share of its characters' number, or fewer, are edits.
 MOST_EDITS = 0.15
-#: Items of fewer words have few pairs of them: they are searched by pieces of ``PIECE`` characters. Those that have fewer
-#: than ``LEAST_CHARS`` characters as well are not searched: they occur by chance.
+#: Items of fewer words and fewer characters are not searched: they occur by chance. Items are cut into pieces of ``PIECE`` characters.
 LEAST_WORDS, LEAST_CHARS, PIECE = 5, 25, 5
 #: Keys, characters of the embedding in each, and steps of a walk for each character of the window.
 KEYS, SAMPLED, STRETCH = 16, 2, 3
 #: Longest part of a window that is walked along; verification is always by the whole item.
 WALK = 256
-#: Fewest pairs of words of an item at which windows are placed, if it has as many.
-FEWEST = 8
+#: Pieces of a text that are looked at together.
+TOGETHER = 1 << 20
 #: Bytes of items that are searched for in one pass over the documents.
 BLOCK = 8 << 20
 
@@ -111,131 +109,163 @@ class Walks:
 
 
 class Items:
-    """The items of a block, by the pairs of neighbouring words in them."""
+    """The items of a block, by the pieces in them."""
 
     def __init__(self, items: Iterable[tuple[object, str]]):
-        self.ids, self.texts, self.words, at = [], [], [], []
-        self.pieces: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.ids, self.texts = [], []
         for key, text in items:
             words = split_words(text)
-            if len(words) < LEAST_WORDS:
-                self._cut(key, b" ".join(words).decode("utf-8"), words)
-                continue
-            hashes = word_hashes(words)
-            pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
-            longest = sorted(range(len(pairs)), key=lambda i: (-len(words[i]) - len(words[i + 1]), i))
-            at += [(int(pairs[place]), len(self.ids), place) for place in longest[: max(FEWEST, len(pairs) // 2)]]
-            self.ids.append(key)
-            self.words.append(words)
-            self.texts.append(b" ".join(words).decode("utf-8"))
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for h, item, place in at:
-            self.places[h].append((item, place))
-        self.hashes = np.array(sorted(self.places), np.uint64)
-        self.piece_hashes = np.array(sorted(self.pieces), np.uint64)
+            own = b" ".join(words).decode("utf-8", "replace")
+            if len(words) >= LEAST_WORDS or len(own) >= LEAST_CHARS:
+                self.ids.append(key)
+                self.texts.append(own)
+        self.runs = []
+        for text in self.texts:
+            own = _piece_hashes(text)
+            order = np.argsort(own, kind="stable")
+            self.runs.append((own[order], order))
+        distinct = [np.unique(own) for own, _ in self.runs]
+        runs, known_to = np.unique(np.concatenate([np.empty(0, np.uint64), *distinct]), return_counts=True)
+        self.lengths = np.array([len(text) for text in self.texts], np.int64)
+        self.limits = np.array([self.most_edits(i) for i in range(len(self.texts))], np.int64)
+        self.needed = np.ones(len(self.texts), np.int64)
+        hashes, owners, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for item, text in enumerate(self.texts):
+            own = _piece_hashes(text)
+            spare = len(text) // PIECE - self.limits[item] - 1
+            at = np.arange(0, len(own), PIECE if spare >= 0 else 1)
+            # Half of the pieces to spare are left out, those that most items have.
+            left = max(0, int(spare) // 2)
+            common = known_to[np.searchsorted(runs, own[at])]
+            at = at[np.lexsort((at, -common))][left:]
+            self.needed[item] = max(1, spare + 1 - left)
+            hashes.append(own[at])
+            owners.append(np.full(len(at), item))
+            places.append(at)
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.owners, self.places = np.concatenate(owners)[order], np.concatenate(places)[order]
+        self.hashes, first = np.unique(every[order], return_index=True)
+        self.bounds = np.append(first, len(every))
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.pieces = [dict[int, list[int]]() for _ in self.texts]
+        for h, item, place in zip(every[order].tolist(), self.owners.tolist(), self.places.tolist()):
+            self.pieces[item].setdefault(h, []).append(place)
         self.walks = Walks()
-        self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def _cut(self, key: object, text: str, words: list[bytes]) -> None:
-        """Takes in an item of few words by its pieces, if it is long enough."""
-        if len(text) < LEAST_CHARS:
-            return
-        hashes, step = _piece_hashes(text), len(text) // (int(MOST_EDITS * len(text)) + 1)
-        for place in range(0, step * (len(text) // step), step):
-            self.pieces[int(hashes[place])].append((len(self.ids), place))
-        self.ids.append(key)
-        self.words.append(words)
-        self.texts.append(text)
-
-    def _find_pieces(self, text: str) -> dict[int, int]:
-        """``{item: distance}`` of the items of few words in ``text``; the distance is the least there is."""
-        hashes = _piece_hashes(text)
-        at = np.minimum(np.searchsorted(self.piece_hashes, hashes), len(self.piece_hashes) - 1)
-        starts: dict[int, set[int]] = defaultdict(set)
-        for place in np.flatnonzero(self.piece_hashes[at] == hashes).tolist():
-            for item, before in self.pieces[int(hashes[place])]:
-                starts[item].add(place - before)
-        found = {}
-        for item, wanted in starts.items():
-            limit, size, regions = self.most_edits(item), len(self.texts[item]), []
-            for start in sorted(wanted):
-                first, last = max(0, start - limit), start + size + limit
-                if regions and first <= regions[-1][1]:
-                    regions[-1][1] = last
-                else:
-                    regions.append([first, last])
-            distance = min(edit_distance_inside(self.texts[item], text[first:last]) for first, last in regions)
-            if distance <= limit:
-                found[item] = distance
-        return found
+        self.keys: dict[tuple[int, int], np.ndarray] = {}
 
     def most_edits(self, item: int) -> int:
         return int(MOST_EDITS * len(self.texts[item]))
 
-    def _halves(self, words: list[bytes], place: int, item: int, at: int) -> tuple[bytes, bytes]:
-        """The window's text from ``place`` on, and before it read backwards; ``at`` is the place in the item."""
-        slack = self.most_edits(item) // 3 + 2
-        own = self.words[item]
-        ahead = b" ".join(words[place : place + len(own) - at + slack])
-        behind = b" ".join(words[max(0, place - at - slack) : place])
-        return ahead, behind[::-1]
-
-    def _sizes(self, item: int, at: int) -> tuple[int, int]:
-        own = self.words[item]
-        return max(1, sum(map(len, own[at:])) + len(own) - at - 1), max(1, sum(map(len, own[:at])) + max(0, at - 1))
-
-    def agree(self, windows: list[tuple[list[bytes], int, int, int]]) -> list[bool]:
-        """Whether each window ``(words, place, item, place in the item)`` shares a key with its item, on the longer side."""
+    def _regions(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(item, first, last)`` of the stretches of a text that may have a copy of an item, by the ``hashes`` of its places."""
+        at = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
+        which = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[which] == hashes[at]
+        at, which = at[same], which[same]
+        if not len(at):
+            return []
+        starts, many = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
+        cuts = np.searchsorted(np.cumsum(many) // TOGETHER, np.arange(1, int(many.sum()) // TOGETHER + 1))
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for part in np.split(np.arange(len(at)), cuts):
+            n = many[part]
+            piece = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            item = self.owners[piece]
+            diagonal = np.repeat(at[part], n) - self.places[piece] + self.lengths[item]
+            some, found = np.unique((item << 40) | diagonal // (self.limits[item] + 1), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, found]), len(keys)).astype(np.int64)
+        # Diagonals that differ by no more than the edits lie in one stripe or in two neighbouring ones.
+        both = counts.copy()
+        both[:-1] += np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
+        keys = keys[both >= self.needed[keys >> 40]]
+        regions: list[list[int]] = []
+        for key in keys.tolist():
+            item, stripe = key >> 40, key & ((1 << 40) - 1)
+            size, limit = len(self.texts[item]), int(self.limits[item])
+            first = max(0, stripe * (limit + 1) - size - limit)
+            last = (stripe + 2) * (limit + 1) + 2 * limit
+            kept, low = size - PIECE + 1 - PIECE * limit, stripe * (limit + 1) - size
+            if kept > 1 and self._runs_kept(item, hashes[first : last - PIECE + 1], low - first, low - first + 2 * limit + 1) < kept:
+                continue
+            if regions and regions[-1][0] == item and first <= regions[-1][2]:
+                regions[-1][2] = last
+            else:
+                regions.append([item, first, last])
+        return [(item, first, last) for item, first, last in regions]
+
+    def _runs_kept(self, item: int, there: np.ndarray, low: int, high: int) -> int:
+        """How many places of ``there`` begin a run of the item on one of the diagonals ``low`` to ``high``."""
+        own, places = self.runs[item]
+        left = np.searchsorted(own, there, "left")
+        many = np.searchsorted(own, there, "right") - left
+        at = np.repeat(np.arange(len(there)), many)
+        diagonals = at - places[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(len(at))]
+        return len(np.unique(at[(diagonals >= low) & (diagonals <= high)]))
+
+    def _windows(self, hashes: np.ndarray, region: tuple[int, int, int]) -> list[tuple[int, int]]:
+        """``(place, place in the item)`` of the item's pieces in a region, those in the middle of it first."""
+        item, first, last = region
+        pieces, limit = self.pieces[item], int(self.limits[item])
+        found = [
+            (first + i, place) for i, h in enumerate(hashes[first : last - PIECE + 1].tolist()) for place in pieces.get(h, ())
+            if first <= first + i - place + limit and first + i - place - limit <= last
+        ]
+        return found[len(found) // 2 :] + found[: len(found) // 2][::-1]
+
+    def _side(self, text: str, place: int, item: int, at: int, slack: int) -> tuple[bytes, int]:
+        """What is walked of the window with ``place`` at the item's ``at``, and for how long: the text from there on, or before it backwards."""
+        ahead = len(self.texts[item]) - at
+        if ahead >= at:
+            side, size = text[place : place + min(ahead + slack, WALK)], self.texts[item][at : at + WALK]
+        else:
+            reach = min(at + slack, WALK)
+            side, size = text[max(0, place - reach) : place][::-1], self.texts[item][max(0, at - WALK) : at]
+        return side.encode("utf-8", "replace"), len(size.encode("utf-8", "replace"))
+
+    def agree(self, windows: list[tuple[str, int, int, int]]) -> list[bool]:
+        """Whether each window ``(text, place, item, place in the item)`` shares a key with its item."""
         needed = list(dict.fromkeys((item, at) for _, _, item, at in windows if (item, at) not in self.keys))
         for chosen in (needed[i : i + 500] for i in range(0, len(needed), 500)):
-            sides = [self._side(self.words[item], at, item, at) for item, at in chosen]
+            sides = [self._side(self.texts[item], at, item, at, 0) for item, at in chosen]
             for key, value in zip(chosen, self.walks.sampled([s for s, _ in sides], [n for _, n in sides])):
                 self.keys[key] = value
         result: list[bool] = []
         for part in (windows[i : i + 500] for i in range(0, len(windows), 500)):
-            sides = [self._side(words, place, item, at) for words, place, item, at in part]
+            sides = [self._side(text, place, item, at, int(self.limits[item])) for text, place, item, at in part]
             own = np.stack([self.keys[item, at] for _, _, item, at in part])
             found = self.walks.sampled([s for s, _ in sides], [n for _, n in sides])
             result += (found == own).all(axis=2).any(axis=1).tolist()
         return result
 
-    def _side(self, words: list[bytes], place: int, item: int, at: int) -> tuple[bytes, int]:
-        ahead, behind = self._halves(words, place, item, at)
-        right, left = self._sizes(item, at)
-        return (ahead, right) if right >= left else (behind, left)
-
     def find(self, texts: list[str | None]) -> list[list[tuple[object, int, int]]]:
         """For each text ``(item id, distance, item length)`` of every item found in it."""
-        windows, owners = [], []
         found: list[dict[int, int]] = [{} for _ in texts]
+        waiting: list[tuple[int, str, tuple[int, int, int], Iterator[tuple[int, int]]]] = []
         for owner, text in enumerate(texts):
-            words = split_words(text)
-            if words and len(self.piece_hashes):
-                found[owner].update(self._find_pieces(b" ".join(words).decode("utf-8", "replace")))
-            if len(words) < 2 or not len(self.hashes):
-                continue
-            hashes = word_hashes(words)
-            pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
-            places = np.flatnonzero(self.seen[(pairs >> np.uint64(42)).astype(np.int64)])
-            for place, h in zip(places.tolist(), pairs[places].tolist()):
-                for item, at in self.places.get(h, ()):
-                    windows.append((words, place, item, at))
-                    owners.append(owner)
-        tried: set[tuple[int, int, int]] = set()
-        for owner, (words, place, item, at), same in zip(owners, windows, self.agree(windows)):
-            start = place - at
-            if not same or (owner, item, start) in tried or found[owner].get(item) == 0:
+            whole = b" ".join(split_words(text)).decode("utf-8", "replace")
+            if len(whole) < PIECE or not len(self.hashes):
                 continue
-            tried.add((owner, item, start))
-            limit = self.most_edits(item)
-            slack = limit // 3 + 2
-            region = b" ".join(words[max(0, start - slack) : start + len(self.words[item]) + slack]).decode("utf-8", "replace")
-            distance = edit_distance_inside(self.texts[item], region)
-            if distance <= min(limit, found[owner].get(item, math.inf)):
-                found[owner][item] = distance
-        return [[(self.ids[i], d, len(self.texts[i])) for i, d in sorted(f.items())] for f in found]
+            hashes = _piece_hashes(whole)
+            for region in self._regions(hashes):
+                waiting.append((owner, whole, region, iter(self._windows(hashes, region))))
+        together = 1
+        while waiting:
+            tried = [(each, windows) for each in waiting if (windows := list(islice(each[3], together)))]
+            same = iter(self.agree([(each[1], place, each[2][0], at) for each, windows in tried for place, at in windows]))
+            together *= 4
+            waiting = []
+            for each, windows in tried:
+                owner, whole, (item, first, last), _ = each
+                if not any(list(islice(same, len(windows)))):
+                    waiting.append(each)
+                    continue
+                distance = edit_distance_inside(self.texts[item], whole[first:last])
+                if distance <= min(int(self.limits[item]), found[owner].get(item, len(whole))):
+                    found[owner][item] = distance
+        return [[(self.ids[i], d, int(self.lengths[i])) for i, d in sorted(f.items())] for f in found]
 
 
 def contaminated(
@@ -246,7 +276,7 @@ def contaminated(
     Compared are words of A-Z as a-z with single spaces between. An item is found where a substring is within
     ``MOST_EDITS`` of its length in edits; ``distance`` is the least seen. A document with two items has two rows, one without
     has none. NULL, empty and blank texts and items, and items of fewer than ``LEAST_WORDS`` words and ``LEAST_CHARS`` characters, are found
-    nowhere. Repeated documents and items are found each. Without documents or items: no rows. Other columns are not
+    nowhere; items of 9 or 14 characters only where ``PIECE`` of them in a row are unchanged. Repeated documents and items are found each. Without documents or items: no rows. Other columns are not
     looked at. Items go to the executors in blocks of about ``BLOCK`` bytes, each a pass over the documents.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text")).filter("text is not null")

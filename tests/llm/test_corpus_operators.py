@@ -254,6 +254,40 @@ def test_items_of_few_words():
     assert index.find(["x" * 34, "x" * 33]) == [[(4, 6, 40)], []]
 
 
+@pytest.mark.parametrize("kind", ["spread", "random", "inserted", "blanks", "deleted"])
+def test_no_edited_copy_is_missed(kind):
+    r = random.Random(kind)
+    word = lambda: "".join(r.choice("aeinorst") for _ in range(r.randint(1, 8)))
+    items = [(i, " ".join(word() for _ in range(r.randint(5, 90)))) for i in range(60)]
+    index = decontaminate.Items(items)
+    texts = []
+    for key, item in items:
+        edits, letters = int(0.15 * len(item)), list(item)
+        at = {r.randrange(len(item)) if kind == "random" else i * len(item) // edits for i in range(edits)}
+        for place in sorted(at, reverse=True):
+            if kind == "deleted":
+                del letters[place]
+            elif kind in ("inserted", "blanks"):
+                letters.insert(place, " " if kind == "blanks" else "x")
+            else:
+                letters[place] = "x"
+        texts.append(" ".join([word() for _ in range(40)] + ["".join(letters)] + [word() for _ in range(40)]))
+    found = index.find(texts)
+    plain = [" ".join(text.split()) for text in texts]
+    for hits, text in zip(found, plain):
+        near = {key: decontaminate.edit_distance_inside(item, text) for key, item in items if len(item) >= 20}
+        expected = {key for key, distance in near.items() if distance <= int(0.15 * len(items[key][1]))}
+        assert {h[0] for h in hits if len(items[h[0]][1]) >= 20} == expected
+        assert all(h[1] >= near[h[0]] for h in hits if h[0] in near)
+
+
+def test_repetitive_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "TOGETHER", 100)
+    index = decontaminate.Items([(0, "ab " * 30), (1, "the same words in another order of things")])
+    text = "ab " * 3000 + "THE same words in another\norder of thinks"
+    assert index.find([text, "", None, "ab"]) == [[(0, 0, 89), (1, 1, 41)], [], [], []]
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2000)
     rows = registry.op6_cgk_decontamination(spark, SF).collect()
