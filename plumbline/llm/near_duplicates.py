@@ -39,7 +39,7 @@ from plumbline.llm.words import MinHash, copies_needed, mixed, shingle_set, simi
 SIGNATURE = 112
 #: Prefix lengths by level of the forest, and the chance that all trees of a level
 #: miss a pair whose similarity is just the threshold.
-DEPTHS, MISS = (3, 6, 12), 1e-4
+DEPTHS, MISS = (3, 9), 1e-4
 #: A prefix shared by more classes than this descends.
 CROWD = 16
 #: Crowded regions, the largest ones, in which a class is compared first. What that leaves apart meets or descends.
