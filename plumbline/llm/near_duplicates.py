@@ -222,20 +222,25 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
 
 
 def _linked(likely: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed ones of the ``likely`` pairs that join all components which the whole of them would."""
+    """Components of the ``likely`` pairs that are confirmed; pairs that the likeliest ones have joined already are not looked at."""
     if likely.isEmpty():
-        return likely.select("a", "b")
+        return components(likely.select("a", "b"))
     both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("x"), F.min("b").alias("y"))
     best = _ordered(best.select("a", F.explode(F.array("x", "y")).alias("b")))
-    sure = stored(_confirmed(best, texts, width, percent), "links")
-    groups = components(sure)
+    groups = components(_confirmed(best, texts, width, percent))
     apart = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in "ab":
         of = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
         apart = apart.join(of, end, "left")
     apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return sure.unionByName(stored(_confirmed(apart, texts, width, percent), "links"))
+    return _with_links(groups, apart, texts, width, percent)
+
+
+def _with_links(groups: DataFrame, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``groups`` and what the confirmed ones of ``pairs`` join."""
+    new = stored(_confirmed(pairs, texts, width, percent), "links")
+    return groups if new.isEmpty() else components(new.unionByName(groups.toDF("a", "b")))
 
 
 def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -253,10 +258,9 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
 
     def joined(likely: DataFrame) -> DataFrame:
         if groups is None:
-            return components(_linked(likely, texts, width, percent))
+            return _linked(likely, texts, width, percent)
         # These are pairs of different components already: most are no links, and none makes the others needless.
-        new = stored(_confirmed(likely, texts, width, percent), "links")
-        return groups if new.isEmpty() else components(new.unionByName(groups.toDF("a", "b")))
+        return _with_links(groups, likely, texts, width, percent)
 
     for level, depth in enumerate(DEPTHS):
         labels = stored(_labels(at_level, level, copies_needed(percent / 100, depth, MISS)), "forest")
@@ -293,8 +297,7 @@ def _crowd_groups(members: DataFrame, groups: DataFrame, texts: DataFrame, width
 
     there = map_rows(texts.join(members, "id"), ["id", "part", "text"], sets, f"id {kinds[0]}, part {kinds[1]}, hashes binary")
     more = stored(close_pairs(stored(there, "sets"), percent), "close")
-    new = stored(_confirmed(more, texts, width, percent), "links")
-    return components(new.unionByName(groups.toDF("a", "b")))
+    return _with_links(groups, more, texts, width, percent)
 
 
 def near_duplicates(
