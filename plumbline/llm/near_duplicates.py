@@ -9,8 +9,9 @@ regions each class is first compared with its neighbour in the sorted order and
 Levels are linked one after the other. After each, classes are counted by the component they have come into, and only
 pairs between components are of any further interest: a crowd of near copies is one component by
 then and done with. Where a crowded region has few classes outside its largest component, those meet all others. In regions of
-many components neighbours of different ones are compared in all trees, and their classes descend: they move to longer prefixes, of as many more trees as keep the recall at the threshold. What is
-still crowded at the last depth is paired by the full sets (``crowds``).
+many components neighbours of different ones are compared in all trees, and their classes descend: they move to longer
+prefixes, of as many more trees as keep the recall at the threshold. Regions of several components that are still crowded at
+the last depth are paired by the full sets (``crowds``).
 
 Candidates whose signatures agree too little to be possible are dropped; the others
 are confirmed on the full sets. Components need no link twice: a first round confirms
@@ -279,9 +280,13 @@ def grouped(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
             return groups
         members = stored(_parted(there.select("id").distinct(), groups), "members")
         there = stored(there.join(members, "id").select("region", "rest", "id", "part"), "crowd")
-        outsiders, many = _outsiders(there)
-        groups = joined(likely_of(_ordered(outsiders)))
-        ids = many.select("id").distinct()
+        if level < len(DEPTHS) - 1:
+            outsiders, there = _outsiders(there)
+            groups = joined(likely_of(_ordered(outsiders)))
+        else:  # the full sets settle all pairs of different parts, and bring fewer of them together
+            parts = there.groupBy("region").agg(F.min("part").alias("x"), F.max("part").alias("y"))
+            there = there.join(parts.filter("x <> y").select("region"), "region")
+        ids = there.select("id").distinct()
         at_level = stored(_parted(keep_ids(classes, ids, "id"), groups), "descend")
         if at_level.isEmpty():
             return groups
