@@ -24,19 +24,32 @@ from plumbline.llm.words import mixed
 #: Elements are counted in about so many sets of a crowd; those in fewer than ``COMMON`` of them are equally rare,
 #: and at most ``LISTED`` others go to the executors with their counts.
 COUNTED, COMMON, LISTED = 20_000, 3, 300_000
+#: Elements that a task counts together before they are sent on.
+COMBINED = 1_000_000
 
 
 def _counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The commonest elements in order, and how many sets have them."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(values: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(values), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["token", "sets"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(value, np.int64))], names=["token"])
+                held.append(np.frombuffer(value, np.int64))
+                size += len(held[-1])
+                if size >= COMBINED:
+                    yield counts(held)
+                    held, size = [], 0
+        if held:
+            yield counts(held)
 
     share = max(1, sets.count() // COUNTED)
-    some = sets.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("hashes").mapInArrow(explode, "token bigint")
-    counted = some.groupBy("token").agg(F.count("*").alias("sets")).filter(F.col("sets") >= COMMON)
+    some = sets.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("hashes").mapInArrow(combine, "token bigint, sets bigint")
+    counted = some.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= COMMON)
     listed = counted.orderBy(F.desc("sets"), "token").limit(LISTED).toArrow()
     tokens, many = listed.column("token").to_numpy().view(np.uint64), listed.column("sets").to_numpy()
     order = np.argsort(tokens)
