@@ -591,6 +591,9 @@ ORACLE_SQL["catalog_tag_filter"] = f"""
     SELECT name, owner, tags FROM ({_ENTRIES}) e
     WHERE contains(lower(coalesce(owner, '')), 'brand#1') AND contains('size ' || CAST(p_size AS VARCHAR), 'size 1')
 """
+# The index changes how entries are found, not which.
+ORACLE_SQL["catalog_search_postings"] = ORACLE_SQL["catalog_search"]
+ORACLE_SQL["catalog_tag_postings"] = ORACLE_SQL["catalog_tag_filter"]
 ORACLE_SQL["catalog_normalize"] = f"""
     SELECT name, alias, description, coalesce(owner, '') AS owner, 'a b|' || tags AS tags,
            source_type, source_ref, CAST(greatest(n_fields, 0) AS INTEGER) AS n_fields, created_at, updated_at

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, history, preview, profile, rule_states, suites, validate
+from plumbline.operators import catalog, catalog_index, history, preview, profile, rule_states, suites, validate
 from plumbline.operators.profile_states import profile_from_states, read_profile_states, write_profile_state
 from plumbline.operators.rules import Rule
 from plumbline.registry.inputs import (
@@ -488,6 +488,25 @@ def catalog_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "owner", F.array_join("tags", "|").alias("tags"))
 
 
+def _posted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog and its postings, as a later search reads them."""
+    entries, path = _catalog(spark, sf_dir), scratch_path(spark, "postings")
+    catalog_index.write_postings(entries, path)
+    return entries, spark.read.parquet(path)
+
+
+@query
+def catalog_search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog_index.search_postings(*_posted(spark, sf_dir), text="RED")
+    return found.select("name", "alias", "owner", "description")
+
+
+@query
+def catalog_tag_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog_index.search_postings(*_posted(spark, sf_dir), text="brand#1", tag=" SIZE 1 ")
+    return found.select("name", "owner", F.array_join("tags", "|").alias("tags"))
+
+
 @query
 def catalog_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _catalog(spark, sf_dir)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import WHITE_SPACE, number_or_null, strip
-from plumbline.operators import catalog, history, suites, validate
+from plumbline.operators import catalog, catalog_index, history, suites, validate
 from plumbline.operators.rules import Rule, read_parameter
 
 NOT_NULL = "expect_column_values_to_not_be_null"
@@ -152,17 +152,41 @@ def test_catalog_reading(entries):
     assert [(f["field"], f["type"], f["nullable"]) for f in fields] == [("id", "int", False), ("amount", "", True)]
 
 
-@pytest.mark.parametrize(
+SEARCHES = pytest.mark.parametrize(
     "text, tag, found",
     [
         ("", "", ["sales", "staff"]), ("STAFF", "", ["staff"]), ("équ", "", ["staff"]), ("0% r", "", ["staff"]),
         (".", "", []), ("data", "hr", ["staff"]), ("", " Cor ", ["staff"]), ("sales", "core", []), ("a", "", ["sales", "staff"]),
     ],
 )
+
+
+@SEARCHES
 def test_catalog_search(entries, text, tag, found):
     assert names(catalog.search(entries, text, tag)) == found
 
 
+@SEARCHES
+def test_catalog_search_by_postings(entries, text, tag, found):
+    assert names(catalog_index.search_postings(entries, catalog_index.postings(entries), text, tag)) == found
+
+
+def test_postings_find_what_a_scan_finds(spark, entries, tmp_path):
+    made = [(f"n{i}", None if i % 7 == 0 else f"Ölfeld {i % 13}%_x", "\U0001f600ab" if i % 5 else "ab", ["t", f"Tag {i}"] if i % 3 else None) for i in range(300)]
+    rows = spark.createDataFrame(made, "name STRING, alias STRING, owner STRING, tags ARRAY<STRING>").withColumn("description", F.lit(""))
+    path = str(tmp_path / "postings")
+    catalog_index.write_postings(rows, path)
+    index = spark.read.parquet(path)
+    assert index.count() == index.distinct().count()
+    for text, tag in [("ölfeld 1", ""), ("D 12%_", "AG 1"), ("\U0001f600a", ""), ("ab", "tag 29"), ("n29", "t"), ("eld 99", ""), ("", " tAg 1 ")]:
+        assert names(catalog_index.search_postings(rows, index, text, tag)) == names(catalog.search(rows, text, tag)), (text, tag)
+    narrow = catalog_index.search_postings(rows, index, "ölfeld 12%")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(place), EqualTo(place,text), In(gram" in plan
+    none = rows.limit(0)
+    assert catalog_index.search_postings(none, catalog_index.postings(none), "abc", "abc").count() == 0
+
+
 def test_catalog_create(spark, entries):
     schema = (
         "name STRING, alias STRING, description STRING, owner STRING, tags ARRAY<STRING>, source_type STRING,"
