@@ -276,11 +276,16 @@ def validate_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_observed(table(spark, sf_dir, "lineitem"), _lineitem_rules(), scratch_path(spark, "lineitem.parquet"))
 
 
+#: Rows of one file of the folder that stream_validate reads.
+STREAM_FILE_ROWS = 1_000_000
+
+
 @query
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The table as a folder of files that a stream takes two at a time.
+    # The table as a folder of files that a stream takes two at a time; files of bounded rows, so that
+    # neither the writing tasks nor a micro-batch read more as the table grows.
     lineitem, source = table(spark, sf_dir, "lineitem"), scratch_path(spark, "incoming")
-    lineitem.repartition(7).write.parquet(source)
+    lineitem.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(source)
     stream = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 2).parquet(source)
     states = scratch_path(spark, "states")
     rule_states.stream_validate(stream, _lineitem_rules(), states, scratch_path(spark, "progress")).awaitTermination()

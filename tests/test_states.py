@@ -145,3 +145,23 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     for _ in range(2):
         rule_state(df, RULES).write.mode("overwrite").parquet(f"{store}/batch=0")
     assert rows(stream_results(spark, store, RULES, df.schema)) == rows(validate(df, RULES))
+
+
+def test_stream_validate_reads_files_of_bounded_rows(spark, monkeypatch):
+    """The stream's folder holds files of at most ``STREAM_FILE_ROWS`` rows, however large the table; verdicts as on the whole."""
+    from plumbline.registry import queries
+
+    sf = "/root/testdata/sf0.001"
+    paths = []
+
+    def recorded(session, name):
+        paths.append(scratch(session, name))
+        return paths[-1]
+
+    scratch = queries.scratch_path
+    monkeypatch.setattr(queries, "STREAM_FILE_ROWS", 500)
+    monkeypatch.setattr(queries, "scratch_path", recorded)
+    streamed = queries.stream_validate(spark, sf).collect()
+    files = spark.read.parquet(paths[0]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 7 and max(f["count"] for f in files) <= 500
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, queries.validate_lineitem(spark, sf).collect()))
